@@ -6,9 +6,10 @@ tells whether the text had the parser's shape. All of them are Catalyst expressi
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,26 @@ from flowspark.operators.rules import Rule, apply_rules, has, put, take_away
 
 @dataclass
 class Parsed:
+    """Fields and success flag; `prepare` holds columns both use, projected first so that the
+    costly part (a regex, a fold) runs once per row."""
+
     fields: dict[str, Column]
     ok: Column
+    prepare: dict[str, Column] = field(default_factory=dict)
 
 
 Parser = Callable[[Column], Parsed]
+_numbers = itertools.count()
+
+
+def _prepared(value: Column) -> tuple[Column, dict[str, Column]]:
+    name = f"_step{next(_numbers)}"
+    return F.col(name), {name: value}
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value to a lambda variable, so that `body` may use it many times."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def raw() -> Parser:
@@ -56,12 +72,12 @@ def json(schema: T.StructType | str) -> Parser:
         first = F.substring(text, 1, 1)
         whole = F.try_parse_json(text).isNotNull()
         is_object, is_list = whole & (first == "{"), whole & (first == "[")
-        row = F.from_json(F.when(is_object, text), schema)
+        row, prepare = _prepared(F.from_json(F.when(is_object, text), schema))
         fields = {f.name: row.getField(f.name) for f in schema.fields}
         if "raw" not in fields:
             items = F.from_json(F.when(is_list, text), T.ArrayType(T.StringType()))
             fields["raw"] = items
-        return Parsed(fields, F.coalesce(is_object | is_list, F.lit(False)))
+        return Parsed(fields, F.coalesce(is_object | is_list, F.lit(False)), prepare)
 
     return step
 
@@ -82,10 +98,10 @@ def xml(schema: T.StructType | str) -> Parser:
     guarded = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
 
     def step(c: Column) -> Parsed:
-        row = F.from_xml(clean_xml(c), guarded,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        row, prepare = _prepared(F.from_xml(clean_xml(c), guarded,
+                                            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
         ok = F.coalesce(row.isNotNull() & row.getField("_bad").isNull(), F.lit(False))
-        return Parsed({f.name: row.getField(f.name) for f in schema.fields}, ok)
+        return Parsed({f.name: row.getField(f.name) for f in schema.fields}, ok, prepare)
 
     return step
 
@@ -108,9 +124,9 @@ def regex(template: str, library: dict[str, str] | None = None) -> Parser:
     names = list(grok.groups)
 
     def step(c: Column) -> Parsed:
-        hits = captures(c, grok.regex, [grok.groups[n] for n in names])
+        hits, prepare = _prepared(captures(c, grok.regex, [grok.groups[n] for n in names]))
         flat = {n: F.nullif(hits.getItem(i), F.lit("")) for i, n in enumerate(names)}
-        return Parsed(nest(flat), F.coalesce(c.rlike(grok.regex), F.lit(False)))
+        return Parsed(nest(flat), hits.isNotNull(), prepare)
 
     return step
 
@@ -156,10 +172,10 @@ def delimited(delimiter: str, names: Sequence[str], quotes: bool = True) -> Pars
                 return f"{q}[^{q}]*{q}{tail}(?:{q}[^{q}]*{q}{tail})*"
 
             piece = f"(?>{quoted(chr(34))}|{quoted(chr(39))}|[\"'][\\s\\S]*|{plain})"
-            found = F.regexp_extract_all(c, F.lit(f"\\G(?:^|{d})({piece})"), F.lit(1))
+            found, prepare = _prepared(F.regexp_extract_all(c, F.lit(f"\\G(?:^|{d})({piece})"), F.lit(1)))
             last = F.array_join(F.slice(found, F.lit(n), F.greatest(F.size(found) - n + 1, F.lit(0))), delimiter)
         else:
-            found = F.split(c, d, n)
+            found, prepare = _prepared(F.split(c, d, n))
             last = F.get(found, F.lit(n - 1))
         ok = F.size(found) >= n
         fields = {}
@@ -167,7 +183,7 @@ def delimited(delimiter: str, names: Sequence[str], quotes: bool = True) -> Pars
             value = F.trim(F.get(found, F.lit(i)) if i < n - 1 else last)
             empty = (value == "-") | (value == "") if i < n - 1 else value == "-"
             fields[name] = F.when(ok & ~empty, _unquoted(value))
-        return Parsed(fields, F.coalesce(ok, F.lit(False)))
+        return Parsed(fields, F.coalesce(ok, F.lit(False)), prepare)
 
     return step
 
@@ -209,23 +225,27 @@ def key_value_map(c: Column, delimiter: str = ",", tab: str = "=") -> Column:
         return F.when(rest.isNotNull() & (F.size(done) > 0),
                       F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(done)
 
-    done = F.aggregate(pieces, start, fold, finish)
-    keys = F.array_distinct(F.transform(done, lambda e: e.getField("key")))
-    entries = F.transform(keys, lambda k: F.struct(
-        k.alias("key"),
-        _kv_value(F.element_at(F.filter(done, lambda e: e.getField("key") == k), -1).getField("value")).alias("value")))
-    return F.map_from_entries(F.filter(entries, lambda e: e.getField("value").isNotNull()))
+    return let(F.aggregate(pieces, start, fold, finish), lambda done: _last_wins(done, _kv_value))
+
+
+def _last_wins(entries: Column, value_of: Callable[[Column], Column]) -> Column:
+    """(key, value) entries as a map: the last value of each key, without null values."""
+    backward = F.reverse(entries)
+    keys = F.transform(backward, lambda e: e.getField("key"))
+    last = F.filter(backward, lambda e, i: F.array_position(keys, e.getField("key")) == i + 1)
+    valued = F.transform(F.reverse(last), lambda e: F.struct(e.getField("key").alias("key"),
+                                                             value_of(e.getField("value")).alias("value")))
+    return F.map_from_entries(F.filter(valued, lambda e: e.getField("value").isNotNull()))
 
 
 def key_value(delimiter: str = ",", tab: str = "=", keys: Sequence[str] | None = None) -> Parser:
     """All pairs in the map `fields`, or the declared keys as columns."""
 
     def step(c: Column) -> Parsed:
-        pairs = key_value_map(c, delimiter, tab)
+        pairs, prepare = _prepared(key_value_map(c, delimiter, tab))
         ok = F.coalesce(F.size(pairs) > 0, F.lit(False))
-        if keys is None:
-            return Parsed({"fields": pairs}, ok)
-        return Parsed({k: F.try_element_at(pairs, F.lit(k)) for k in keys}, ok)
+        fields = {"fields": pairs} if keys is None else {k: F.try_element_at(pairs, F.lit(k)) for k in keys}
+        return Parsed(fields, ok, prepare)
 
     return step
 
@@ -240,24 +260,19 @@ def cef() -> Parser:
     """Seven header fields between unescaped pipes and the map `extension` of `k=v` pairs."""
 
     def step(c: Column) -> Parsed:
-        parts = F.split(F.trim(c), r"(?<!\\)\|", 8)
+        parts, prepare = _prepared(F.split(F.trim(c), r"(?<!\\)\|", 8))
         ok = F.coalesce((F.size(parts) == 8) & F.get(parts, F.lit(0)).startswith("CEF:"), F.lit(False))
         fields = {}
         for i, name in enumerate(CEF_HEADER):
             value = F.trim(F.get(parts, F.lit(i)))
             value = F.substring(value, 5, 1_000_000) if i == 0 else value
             fields[name] = F.when(ok & (value != ""), value)
-        pair = r"(?:^| )([^ =\\]+)=([\s\S]*?)(?=(?: [^ =\\]+=)|$)"
-        ext = F.get(parts, F.lit(7))
-        keys = F.regexp_extract_all(ext, F.lit(pair), F.lit(1))
-        values = F.regexp_extract_all(ext, F.lit(pair), F.lit(2))
-        entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-        uniq = F.array_distinct(F.transform(entries, lambda e: e.getField("k")))
-        mapped = F.transform(uniq, lambda k: F.struct(
-            k.alias("key"),
-            F.element_at(F.filter(entries, lambda e: e.getField("k") == k), -1).getField("v").alias("value")))
-        fields["extension"] = F.when(ok, F.map_from_entries(F.filter(mapped, lambda e: e.getField("value") != "")))
-        return Parsed(fields, ok)
+        pair = r"(?:^| )([^ =\\]+=[\s\S]*?)(?=(?: [^ =\\]+=)|$)"
+        found = F.transform(F.regexp_extract_all(F.get(parts, F.lit(7)), F.lit(pair), F.lit(1)), lambda kv: F.struct(
+            F.substring_index(kv, "=", 1).alias("key"), F.substring(kv, F.instr(kv, "=") + 1, F.length(kv)).alias("value")))
+        extension = let(found, lambda e: _last_wins(e, lambda v: F.nullif(v, F.lit(""))))
+        fields["extension"] = F.when(ok, extension)
+        return Parsed(fields, ok, prepare)
 
     return step
 
@@ -285,7 +300,7 @@ def select(parsers: Sequence[Parser]) -> Parser:
         ok = F.lit(False)
         for p in tried:
             ok = ok | p.ok
-        return Parsed(fields, ok)
+        return Parsed(fields, ok, {k: v for p in tried for k, v in p.prepare.items()})
 
     return step
 
@@ -299,7 +314,7 @@ def chain(parsers: Sequence[Parser]) -> Parser:
         ok = F.lit(True)
         for p in tried:
             ok = ok & p.ok
-        return Parsed(fields, ok)
+        return Parsed(fields, ok, {k: v for p in tried for k, v in p.prepare.items()})
 
     return step
 
@@ -315,7 +330,8 @@ def parse(df: DataFrame, col: str, parser: Parser, keep_raw: bool = True) -> Dat
     fields = {n: F.when(parsed.ok, v) for n, v in parsed.fields.items()}
     others = [F.col(f"`{c}`") for c in df.columns if c not in fields and c not in (col, "_error", "_raw")]
     text = [F.col(col).alias("_raw")] if keep_raw else [F.when(~parsed.ok, F.col(col)).alias("_raw")]
-    return df.select(*others, *[v.alias(n) for n, v in fields.items()], *text, message.alias("_error"))
+    ready = df.withColumns(parsed.prepare) if parsed.prepare else df
+    return ready.select(*others, *[v.alias(n) for n, v in fields.items()], *text, message.alias("_error"))
 
 
 def split_good_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -331,12 +347,14 @@ def reparse(field: str, parser: Parser, rules: Sequence[Rule] = ()) -> Rule:
             return df
         parsed = parser(F.col(field))
         fields = {n: F.when(parsed.ok, v) for n, v in parsed.fields.items()}
+        ready = df.withColumns(parsed.prepare) if parsed.prepare else df
         if list(fields) == ["raw"]:
-            return apply_rules(put(df, field, F.coalesce(fields["raw"], F.col(field))), rules)
+            out = put(ready, field, F.coalesce(fields["raw"], F.col(field))).drop(*parsed.prepare)
+            return apply_rules(out, rules)
         named = {(f"{field}_{n}" if n in df.columns and n != field else n): v for n, v in fields.items()}
         message = F.when(~parsed.ok & F.col(field).isNotNull(), F.lit(f"{field}: no match for the parser"))
         old = F.col("_error") if "_error" in df.columns else F.lit(None).cast("string")
-        out = df.withColumns({**named, "_error": F.coalesce(old, message)})
+        out = ready.withColumns({**named, "_error": F.coalesce(old, message)}).drop(*parsed.prepare)
         if field not in named:
             out = take_away(out, field)
         return apply_rules(out, rules)

@@ -442,7 +442,7 @@ def xpath_fields(field: str, paths: dict[str, tuple[str, bool]], trim: bool = Tr
         for name, (path, many) in paths.items():
             if many:
                 found = F.xpath(get(df, field), F.lit(path))
-                out[name] = F.transform(found, F.trim) if trim else found
+                out[name] = F.transform(found, lambda x: F.trim(x)) if trim else found
             else:
                 found = F.xpath_string(get(df, field), F.lit(path))
                 out[name] = F.trim(found) if trim else found
@@ -456,7 +456,7 @@ def xml_to_text(field: str, tags: Sequence[str], target: str) -> Rule:
 
     def step(df: DataFrame) -> DataFrame:
         found = F.concat(*[F.xpath(get(df, field), F.lit(f"//{t}/text()")) for t in tags])
-        return df.withColumn(target, F.array_join(F.transform(found, F.trim), "\n"))
+        return df.withColumn(target, F.array_join(F.transform(found, lambda x: F.trim(x)), "\n"))
 
     return step
 
