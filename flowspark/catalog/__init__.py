@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rows", "tables")
+MODULES = ("rows", "tables", "text")
 
 
 def load():

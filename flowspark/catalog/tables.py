@@ -10,7 +10,7 @@ from flowspark.operators import aggregates as A
 from flowspark.operators import enrich, joins, upsert
 from flowspark.operators import rules as R
 from flowspark.plans import branch
-from flowspark.plans.scale import first_per_key
+from flowspark.plans.scale import carry, first_per_key, ordered
 from flowspark.plans.sql import register_functions, run_sql
 from flowspark.sources import sinks
 
@@ -337,7 +337,11 @@ SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC,
 
 @query("w03_over", _W03)
 def _(t: Tables):
-    return run_sql({"customer": t.customer}, _W03)
+    df = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", (-C("c_acctbal")).alias("_down"))
+    keys = ["c_nationkey"]
+    placed = ordered(df, keys, ["_down", "c_custkey"]).select("c_custkey", "c_nationkey", "c_acctbal", C("_pos").alias("place"))
+    out = carry(ordered(placed, keys, ["c_custkey"]), keys, {"running": ("c_acctbal", "sum")})
+    return out.select("c_custkey", "place", F.round("running", 2).alias("running"))
 
 
 @query("w04_first_per_key", """

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +33,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _text_size(df: DataFrame) -> Column:
     """Bytes one row takes, from its real values."""
     size = F.lit(16)
@@ -109,11 +105,12 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     Heavy keys are found by an exact partial count. Their left rows get a salt, their right
     rows one copy per salt; all other keys join as usual. `how`: inner, left, left_semi, left_anti.
     """
-    counts = left.groupBy(*keys).count().where(F.col("count") > heavy_rows)
-    heavy = counts.select(*keys, F.ceil(F.col("count") / heavy_rows).cast("int").alias("_salts"))
-    heavy = checkpoint(heavy)
-    if heavy.isEmpty():
+    counts = left.groupBy(*keys).count()
+    most = counts.agg(F.max("count").alias("m")).first()["m"] or 0
+    if most <= heavy_rows:
         return left.join(right, list(keys), how)
+    heavy = checkpoint(counts.where(F.col("count") > heavy_rows).select(
+        *keys, F.ceil(F.col("count") / heavy_rows).cast("int").alias("_salts")))
     salted_left = (
         left.join(heavy, list(keys), "left")
         .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
@@ -150,22 +147,23 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int
     drawn twice.
     """
     keys, order = list(keys), list(order)
-    parts = parts or parallelism(df.sparkSession)
+    # without a number, small tables are coalesced at run time
+    ranged = df.repartitionByRange(parts, *keys, *order) if parts else df.repartitionByRange(*keys, *order)
     laid = checkpoint(
-        df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-        .withColumn("_seg", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+        ranged.sortWithinPartitions(*keys, *order)
+        .withColumn("_seg", F.spark_partition_id()).withColumn("_seg_row", F.monotonically_increasing_id())
     )
-    slices = laid.groupBy(*keys, "_seg").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    slices = laid.groupBy(*keys, "_seg").agg(F.min("_seg_row").alias("_seg_first"), F.count(F.lit(1)).alias("_seg_rows"))
     by_key = Window.partitionBy(*keys)
     slices = slices.select(
-        *keys, "_seg", "_first",
-        (F.sum("_rows").over(by_key.orderBy("_seg")) - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(by_key).alias("_n"),
+        *keys, "_seg", "_seg_first",
+        (F.sum("_seg_rows").over(by_key.orderBy("_seg")) - F.col("_seg_rows")).alias("_seg_before"),
+        F.sum("_seg_rows").over(by_key).alias("_n"),
     )
     return (
         join_back(laid, slices, [*keys, "_seg"])
-        .withColumn("_pos", F.col("_row") - F.col("_first") + F.col("_before") + 1)
-        .drop("_row", "_first", "_before")
+        .withColumn("_pos", F.col("_seg_row") - F.col("_seg_first") + F.col("_seg_before") + 1)
+        .drop("_seg_row", "_seg_first", "_seg_before")
     )
 
 
