@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rows", "tables", "text")
+MODULES = ("rows", "tables", "text", "learning", "timeseries")
 
 
 def load():
