@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HEAVY_ROWS = 1_000_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; one of our own only in local mode without one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +29,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="flowspark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,0 +1,90 @@
+"""Stateful streams: changing results, late rows, rolling series per key."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowspark.plans.scale import last_per_key
+
+
+def change_log(folder: str, keys: Sequence[str], values: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` for an update-mode aggregate: every change as a row with the new values and,
+    when the key was known, one with the old values (`change` = insert / retract).
+
+    Batch n reads the state left by batch n-1 and writes its own, so a repeated batch gives the
+    same output.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*keys, *values)
+        try:
+            old = spark.read.schema(new.schema).parquet(f"{folder}/state/{number - 1}")
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            old = spark.createDataFrame([], new.schema)
+        touched = old.join(new.select(*keys), list(keys), "left_semi")
+        changes = touched.withColumn("change", F.lit("retract")).unionByName(new.withColumn("change", F.lit("insert")))
+        changes.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        state = old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+        state.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+
+    return step
+
+
+def split_late(folder: str, ts: str, bound_seconds: float) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` that writes rows behind the watermark of the batches before to `late`, others
+    to `out`. The watermark is the highest time seen minus the bound."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        try:
+            seen = spark.read.parquet(f"{folder}/seen/{number - 1}").agg(F.max("top").alias("t")).first()["t"]
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            seen = None
+        moment = F.unix_micros(F.col(ts).cast("timestamp"))
+        late = F.lit(False) if seen is None else F.coalesce(moment < F.lit(seen - int(bound_seconds * 1e6)), F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.where(late).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        batch.agg(F.greatest(F.max(moment), F.lit(seen).cast("long")).alias("top")).write.mode("overwrite").parquet(f"{folder}/seen/{number}")
+
+    return step
+
+
+def rolling_series(df: DataFrame, key: str, ts: str, value: str, keep: int = 1000) -> DataFrame:
+    """Per key the last `keep` points seen so far, given out whenever there are more than two.
+
+    Input batches are folded piece by piece; the state is the kept tail, whatever the key's traffic.
+    `keep` is the window the series models need, `total` counts all points.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    out = f"`{key}` {kind}, total long, times array<long>, `values` array<double>"
+
+    def fold(group, frames, state):
+        import pandas as pd
+
+        total, times, values = state.get if state.exists else (0, [], [])
+        points = list(zip(times, values))
+        for frame in frames:
+            total += len(frame)
+            points += list(zip(frame["_t"].astype("int64").tolist(), frame["_v"].astype(float).tolist()))
+            points.sort()
+            points = points[-keep:]
+        state.update((total, [p[0] for p in points], [p[1] for p in points]))
+        if total > 2:
+            yield pd.DataFrame({key: [group[0]], "total": [total], "times": [[p[0] for p in points]], "values": [[p[1] for p in points]]})
+
+    ready = df.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("_t"), F.col(value).cast("double").alias("_v"))
+    return ready.groupBy(key).applyInPandasWithState(
+        fold, out, "total long, times array<long>, `values` array<double>", "update", "NoTimeout")
+
+
+def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last state per key of an update-mode result."""
+    return last_per_key(df, keys, order)
