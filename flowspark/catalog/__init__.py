@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rows", "tables", "text", "learning", "timeseries", "streams")
+MODULES = ("rows", "tables", "files", "text", "learning", "timeseries", "streams")
 
 
 def load():

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowspark.plans.scale import spread
 from flowspark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table spread over all cores, for queries with heavy work per row."""
+        return spread(getattr(self, name).select(*columns))
+
 
 def query(name: str, sql: str | None = None):
     """Register a function of `Tables` as a query, with the SQL that checks it."""

@@ -85,7 +85,7 @@ SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS part, l_returnfla
        l_linestatus || ',' || strftime(l_shipdate, '%Y-%m-%d') AS rest
 FROM lineitem""")
 def _(t: Tables):
-    df = t.lineitem.withColumn("line", F.concat_ws(
+    df = t.wide("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate").withColumn("line", F.concat_ws(
         ",", C("l_partkey").cast("string"), C("l_returnflag"), C("l_linestatus"),
         F.date_format("l_shipdate", "yyyy-MM-dd")))
     out = parse.parse(df.select("l_orderkey", "l_linenumber", "line"), "line",
@@ -100,7 +100,7 @@ def _(t: Tables):
     line = F.concat(F.lit("usr="), C("user_id").cast("string"), F.lit(',type="'), C("event_type"),
                     F.lit("\",note='a b, c',src,even="),
                     F.when(C("user_id") % 2 == 0, C("event_type")).otherwise("N/A"))
-    df = t.events.select("event_id", line.alias("line"))
+    df = t.wide("events", "event_id", "event_type", "user_id").select("event_id", line.alias("line"))
     out = parse.parse(df, "line", parse.key_value(",", "=", ["usr", "type", "note", "src_even"]))
     return out.drop("_raw", "_error")
 
@@ -112,7 +112,7 @@ def _(t: Tables):
     line = F.concat(F.lit("CEF:0|acme|gate|1.0|100|"), C("event_type"), F.lit("|"),
                     (C("user_id") % 10).cast("string"), F.lit("|suser="), C("user_id").cast("string"),
                     F.lit(" msg=seen "), C("event_type"), F.lit(" today"))
-    out = parse.parse(t.events.select("event_id", line.alias("line")), "line", parse.cef())
+    out = parse.parse(t.wide("events", "event_id", "event_type", "user_id").select("event_id", line.alias("line")), "line", parse.cef())
     return out.select("event_id", "version", "device_vendor", "name", "severity",
                       C("extension")["suser"].alias("suser"), C("extension")["msg"].alias("msg"))
 
@@ -357,13 +357,13 @@ def _(t: Tables):
     xml = F.concat(F.lit("<r><k> "), C("event_type"), F.lit(" </k><i>"), C("user_id").cast("string"),
                    F.lit("</i><i>"), C("event_type"), F.lit("</i></r>"))
     rule = R.xpath_fields("xml", {"kind": ("/r/k/text()", False), "items": ("/r/i/text()", True)})
-    return t.events.select("event_id", xml.alias("xml")).transform(rule).drop("xml")
+    return t.wide("events", "event_id", "event_type", "user_id").select("event_id", xml.alias("xml")).transform(rule).drop("xml")
 
 
 @query("r26_xml_to_text", "SELECT event_id, event_type || chr(10) || CAST(user_id AS VARCHAR) AS body FROM events")
 def _(t: Tables):
     xml = F.concat(F.lit("<r><k>"), C("event_type"), F.lit("</k><i>"), C("user_id").cast("string"), F.lit("</i></r>"))
-    return t.events.select("event_id", xml.alias("xml")).transform(R.xml_to_text("xml", ["k", "i"], "body")).drop("xml")
+    return t.wide("events", "event_id", "event_type", "user_id").select("event_id", xml.alias("xml")).transform(R.xml_to_text("xml", ["k", "i"], "body")).drop("xml")
 
 
 @query("r27_stable_id", """

@@ -25,7 +25,7 @@ SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS w_start, c_mktsegment AS se
        count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, round(sum(value), 2) AS v_sum
 FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY ALL""")
 def _(t: Tables):
-    df = parse.parse(t.events.select("ts", "user_id", "event_type", "value", "props"), "props", parse.json("k string"))
+    df = parse.parse(t.wide("events", "ts", "user_id", "event_type", "value", "props"), "props", parse.json("k string"))
     df = R.apply_rules(df, [
         R.switch("event_type", [("error", [R.add_fields({"level": "high"})]), ("purchase", [R.add_fields({"level": "money"})])],
                  [R.add_fields({"level": "rest"})]),

@@ -13,7 +13,7 @@ C = F.col
 
 
 def _docs(t: Tables):
-    return t.documents.select("doc_id", tx.split_tokens("text", r"\s+").alias("tokens"))
+    return t.wide("documents", "doc_id", "text").select("doc_id", tx.split_tokens("text", r"\s+").alias("tokens"))
 
 
 def _log_lines(t: Tables):
@@ -21,7 +21,7 @@ def _log_lines(t: Tables):
     line = F.concat(F.lit("user "), C("user_id").cast("string"), F.lit(" did "), C("event_type"), F.lit(" on item "),
                     (C("event_id") % 97).cast("string"), F.when(C("event_type") == "error", F.lit(" and failed with code "))
                     .otherwise(F.lit(" in ms: ")), F.floor("value").cast("string"))
-    return t.events.select("event_id", "event_type", line.alias("line"))
+    return t.wide("events", "event_id", "event_type", "user_id", "value").select("event_id", "event_type", line.alias("line"))
 
 
 _DOCS = "WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS tokens FROM documents)\n"

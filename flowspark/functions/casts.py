@@ -122,10 +122,13 @@ def normalize(df: DataFrame, metadata: list[tuple]) -> DataFrame:
 def ip_to_long(c: str | Column) -> Column:
     """IPv4 text as a number, -1 when it is none."""
     parts = F.split(F.trim(as_col(c)), r"\.")
-    octets = F.transform(parts, lambda p: F.when(p.rlike(r"^\d{1,3}$"), p.try_cast("bigint")))
-    good = (F.size(parts) == 4) & F.forall(octets, lambda o: F.coalesce(o <= 255, F.lit(False)))
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda a, o: a * 256 + o)
-    return F.when(good, number).otherwise(F.lit(-1).cast("bigint"))
+    good = F.trim(as_col(c)).rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
+    number = F.lit(0).cast("bigint")
+    for i in range(4):
+        octet = F.get(parts, F.lit(i)).try_cast("bigint")
+        number = number * 256 + octet
+        good = good & (octet <= 255)
+    return F.when(F.coalesce(good, F.lit(False)), number).otherwise(F.lit(-1).cast("bigint"))
 
 
 def long_to_ip(c: str | Column) -> Column:

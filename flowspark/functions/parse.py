@@ -67,17 +67,20 @@ def json(schema: T.StructType | str) -> Parser:
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
 
+    guarded = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+
     def step(c: Column) -> Parsed:
-        text = F.regexp_replace(c, "^[\ufeff\\s]+", "")
+        text = F.ltrim(F.ltrim(c, F.lit("\ufeff")))
         first = F.substring(text, 1, 1)
-        whole = F.try_parse_json(text).isNotNull()
-        is_object, is_list = whole & (first == "{"), whole & (first == "[")
-        row, prepare = _prepared(F.from_json(F.when(is_object, text), schema))
+        row, prepare = _prepared(F.from_json(F.when(first == "{", text), guarded, {"columnNameOfCorruptRecord": "_bad"}))
+        is_object = row.isNotNull() & row.getField("_bad").isNull()
         fields = {f.name: row.getField(f.name) for f in schema.fields}
+        ok = is_object
         if "raw" not in fields:
-            items = F.from_json(F.when(is_list, text), T.ArrayType(T.StringType()))
+            items = F.from_json(F.when(first == "[", text), T.ArrayType(T.StringType()))
             fields["raw"] = items
-        return Parsed(fields, F.coalesce(is_object | is_list, F.lit(False)), prepare)
+            ok = is_object | ((first == "[") & items.isNotNull())
+        return Parsed(fields, F.coalesce(ok, F.lit(False)), prepare)
 
     return step
 

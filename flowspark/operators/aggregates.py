@@ -78,8 +78,11 @@ def complement(df: DataFrame, field: str, cases: Sequence[Column]) -> DataFrame:
 
 # -- metrics -----------------------------------------------------------------------------
 
-def channel_counts(df: DataFrame, phase: str) -> DataFrame:
-    """Observe how many rows went in, succeeded, failed and were ignored while `df` is written."""
+def channel_counts(df: DataFrame, phase) -> DataFrame:
+    """Observe how many rows went in, succeeded, failed and were ignored while `df` is written.
+
+    `phase` is a name (read, operation, write) or an Observation.
+    """
     error = F.col("_error").isNotNull() if "_error" in df.columns else F.lit(False)
     ignored = F.col("_ignored") if "_ignored" in df.columns else F.lit(False)
     return df.observe(phase, F.count(F.lit(1)).alias("in"), F.count_if(~error & ~ignored).alias("success"),

@@ -68,7 +68,7 @@ def range_lookup(df: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str,
     """
     points = df.select(point).where(F.col(point).isNotNull()).distinct()
     found = first_per_key(range_matches(points, point, ranges, lo, hi), [point], list(order) or [lo, hi])
-    return lookup_join(df, found, [point])
+    return lookup_join(df, checkpoint(found), [point])
 
 
 # Private and loopback address blocks, which have no location.

@@ -25,7 +25,7 @@ def minhash_signature(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
     Tokens are exploded next to their row, so the 128 minima are combined before the shuffle and
     one row per document crosses it. Rows without tokens get no signature.
     """
-    terms = df.select(row_id, F.explode(F.array_distinct(tokens)).alias("t"))
+    terms = df.select(row_id, F.explode(F.array_distinct(tokens)).alias("t")).select(row_id, F.xxhash64("t").alias("t"))
     minima = terms.groupBy(row_id).agg(*[F.min(F.xxhash64("t", F.lit(i))).alias(f"h{i}") for i in range(HASHES)])
 
     def pack(first):

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from flowspark.functions.casts import to_real
 from flowspark.functions.text import as_col, squash
-from flowspark.plans.scale import lookup_join
+from flowspark.plans.scale import checkpoint, lookup_join
 
 FEATURES = 1 << 20
 
@@ -28,14 +28,22 @@ def idf_table(df: DataFrame, row_id: str, tokens: str, min_doc_freq: int = 0) ->
     total = df.count()
     pairs = df.select(row_id, F.explode(F.array_distinct(tokens)).alias("token"))
     freq = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.when(F.col("df") >= min_doc_freq, F.log((F.lit(float(total)) + 1) / (F.col("df") + 1))).otherwise(0.0)
-    return freq.withColumn("idf", idf)
+    return freq.withColumn("idf", _idf(total, min_doc_freq))
+
+
+def _idf(total: int, min_doc_freq: int) -> Column:
+    return F.when(F.col("df") >= min_doc_freq, F.log((F.lit(float(total)) + 1) / (F.col("df") + 1))).otherwise(0.0)
 
 
 def tf_idf_rows(df: DataFrame, row_id: str, tokens: str, min_doc_freq: int = 0) -> DataFrame:
-    """`(row_id, token, tf, tf_idf)`; the token table is broadcast only when measured small."""
-    tf = df.select(row_id, F.explode(tokens).alias("token")).groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("tf"))
-    weights = idf_table(df, row_id, tokens, min_doc_freq).select("token", "idf")
+    """`(row_id, token, tf, tf_idf)`; the token table is broadcast only when measured small.
+
+    The counted terms are written once: document frequencies and the result both read them.
+    """
+    total = df.select(row_id).distinct().count()
+    tf = checkpoint(df.select(row_id, F.explode(tokens).alias("token")).groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("tf")))
+    freq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weights = freq.select("token", _idf(total, min_doc_freq).alias("idf"))
     return lookup_join(tf, weights, ["token"], "inner").select(row_id, "token", "tf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
 
 

@@ -38,6 +38,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, laid out over all cores before heavy row work.
+
+    For scans of a few large row groups only; a scan that is wide enough stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _text_size(df: DataFrame) -> Column:
     """Bytes one row takes, from its real values."""
     size = F.lit(16)
@@ -216,7 +225,9 @@ def carry(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, str]]
     over = Window.partitionBy(*keys).orderBy("_seg")
     unbounded, current = Window.unboundedPreceding, Window.currentRow
     upto = inside.rowsBetween(unbounded, current)
-    onward = inside.rowsBetween(current, Window.unboundedFollowing)
+    # "from here on" is a running frame over the reverse order: frames open to the end are quadratic
+    onward = Window.partitionBy(*keys, "_seg").orderBy(F.desc("_pos")).rowsBetween(unbounded, current)
+    over_back = Window.partitionBy(*keys).orderBy(F.desc("_seg")).rowsBetween(unbounded, -1)
     local, total, brought, final = {}, [], {}, {}
     for name, (col, kind) in wanted.items():
         if kind == "previous":
@@ -225,9 +236,9 @@ def carry(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, str]]
             brought[f"_b_{name}"] = F.last(f"_t_{name}", True).over(over.rowsBetween(unbounded, -1))
             final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_b_{name}"))
         elif kind == "next":
-            local[f"_l_{name}"] = F.first(col, True).over(onward)
+            local[f"_l_{name}"] = F.last(col, True).over(onward)
             total.append(F.min_by(col, F.when(F.col(col).isNotNull(), F.col("_pos"))).alias(f"_t_{name}"))
-            brought[f"_b_{name}"] = F.first(f"_t_{name}", True).over(over.rowsBetween(1, Window.unboundedFollowing))
+            brought[f"_b_{name}"] = F.last(f"_t_{name}", True).over(over_back)
             final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_b_{name}"))
         elif kind == "sum":
             local[f"_l_{name}"] = F.sum(col).over(upto)

@@ -68,7 +68,7 @@ def json_objects(spark: SparkSession, path: str) -> DataFrame:
     outside strings tells where an object ends.
     """
     pieces = numbered(spark.read.option("lineSep", "}").text(path))
-    plain = F.regexp_replace("value", r"\\\\.", "")
+    plain = F.regexp_replace("value", r"\\.", "")
     quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
     placed = ordered(pieces.withColumn("_quotes", quotes.cast("long")), ["path"], ["block", "row"])
     placed = carry(placed, ["path"], {"_upto": ("_quotes", "sum")})

@@ -25,29 +25,40 @@ def _literal(value) -> str:
     return f"TIMESTAMP('{text}')" if hasattr(value, "strftime") else "'" + text.replace("'", "''") + "'"
 
 
-def range_read(spark: SparkSession, url: str, table_or_sql: str, column: str, start, end=None, step=None,
-               options: dict | None = None, max_parts: int = 10_000) -> DataFrame:
-    """Rows with `column > start AND column <= end`, one predicate (and task) per step window.
+def range_predicates(column: str, start, end, step=None, max_parts: int = 10_000) -> list[str]:
+    """One `column > a AND column <= b` per step window, from start to end without gaps.
 
-    Without `end` the present maximum is asked first. Steps are widened when there would be more
-    than `max_parts` of them, so the list of predicates stays small; no row is left out.
+    A step is a number of units, or of seconds for times. Steps are widened when there would be
+    more than `max_parts` of them, so the list stays small; no row is left out.
     """
     from datetime import datetime, timedelta
 
-    if end is None:
-        low, end = bounds(spark, url, table_or_sql, column, options)
-        start = low if start is None else start
-    if end is None:
-        predicates = ["1 = 0"]
-    else:
-        wide = timedelta(seconds=step) if isinstance(start, datetime) and step else step
-        predicates, at = [], start
-        if wide and (end - start) / wide > max_parts:
-            wide = (end - start) / max_parts
-        while wide and at + wide < end:
-            predicates.append(f"{column} > {_literal(at)} AND {column} <= {_literal(at + wide)}")
-            at = at + wide
-        predicates.append(f"{column} > {_literal(at)} AND {column} <= {_literal(end)}")
+    wide = timedelta(seconds=step) if isinstance(start, datetime) and step else step
+    if wide and (end - start) / wide > max_parts:
+        wide = (end - start) / max_parts
+    out, at = [], start
+    while wide and at + wide < end:
+        out.append(f"{column} > {_literal(at)} AND {column} <= {_literal(at + wide)}")
+        at = at + wide
+    out.append(f"{column} > {_literal(at)} AND {column} <= {_literal(end)}")
+    return out
+
+
+def range_read(spark: SparkSession, url: str, table_or_sql: str, column: str, start=None, end=None, step=None,
+               options: dict | None = None, max_parts: int = 10_000) -> DataFrame:
+    """Rows with `column > start AND column <= end`, one predicate (and task) per step window.
+
+    Missing ends are asked in the database first; without a start the lowest row belongs to the result.
+    """
+    first = None
+    if start is None or end is None:
+        low, high = bounds(spark, url, table_or_sql, column, options)
+        end = high if end is None else end
+        if start is None:
+            start, first = low, low
+    predicates = ["1 = 0"] if start is None or end is None else range_predicates(column, start, end, step, max_parts)
+    if first is not None:
+        predicates.insert(0, f"{column} = {_literal(first)}")
     df = spark.read.jdbc(url, _relation(table_or_sql), predicates=predicates, properties=options or {})
     return plain_numbers(df)
 
@@ -82,25 +93,26 @@ def append_routed(df: DataFrame, url: str, name: str, columns: dict[str, str], o
     return names
 
 
+def merge_statement(table: str, staging: str, names: list[str], key: list[str]) -> str:
+    on = " AND ".join(f'd."{k}" = s."{k}"' for k in key)
+    update = ", ".join(f'd."{c}" = s."{c}"' for c in names if c not in key)
+    matched = f"WHEN MATCHED THEN UPDATE SET {update} " if update else ""
+    insert = ", ".join(f'"{c}"' for c in names)
+    values = ", ".join(f's."{c}"' for c in names)
+    return f"MERGE INTO {table} d USING {staging} s ON {on} {matched}WHEN NOT MATCHED THEN INSERT ({insert}) VALUES ({values})"
+
+
 def upsert(df: DataFrame, url: str, table: str, key: list[str], staging: str, columns: dict[str, str],
            options: dict | None = None) -> None:
     """Insert or update by key: rows go to a staging table in parallel, then one MERGE in the database."""
     kept = df.select(*[c for c in columns if c in df.columns])
     ddl = ", ".join(f"{c} {columns[c]}" for c in kept.columns)
-    (kept.write.option("createTableColumnTypes", ddl).option("truncate", "false")
-        .jdbc(url, staging, mode="overwrite", properties=options or {}))
-    names = kept.columns
-    on = " AND ".join(f'd."{k}" = s."{k}"' for k in key)
-    update = ", ".join(f'd."{c}" = s."{c}"' for c in names if c not in key)
-    insert = ", ".join(f'"{c}"' for c in names)
-    values = ", ".join(f's."{c}"' for c in names)
-    merge = (f"MERGE INTO {table} d USING {staging} s ON {on} WHEN MATCHED THEN UPDATE SET {update} "
-             f"WHEN NOT MATCHED THEN INSERT ({insert}) VALUES ({values})")
+    kept.write.option("createTableColumnTypes", ddl).jdbc(url, staging, mode="overwrite", properties=options or {})
     jvm = df.sparkSession.sparkContext._jvm
     connection = jvm.java.sql.DriverManager.getConnection(url)
     try:
         statement = connection.createStatement()
-        statement.executeUpdate(merge)
+        statement.executeUpdate(merge_statement(table, staging, kept.columns, key))
         statement.close()
     finally:
         connection.close()
