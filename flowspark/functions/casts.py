@@ -119,16 +119,14 @@ def normalize(df: DataFrame, metadata: list[tuple]) -> DataFrame:
     })
 
 
+IPV4 = r"^(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|[01]?\d?\d)){3}$"
+
+
 def ip_to_long(c: str | Column) -> Column:
     """IPv4 text as a number, -1 when it is none."""
-    parts = F.split(F.trim(as_col(c)), r"\.")
-    good = F.trim(as_col(c)).rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        octet = F.get(parts, F.lit(i)).try_cast("bigint")
-        number = number * 256 + octet
-        good = good & (octet <= 255)
-    return F.when(F.coalesce(good, F.lit(False)), number).otherwise(F.lit(-1).cast("bigint"))
+    text = F.trim(as_col(c))
+    number = F.aggregate(F.split(text, r"\."), F.lit(0).cast("bigint"), lambda a, o: a * 256 + o.try_cast("bigint"))
+    return F.when(text.rlike(IPV4), number).otherwise(F.lit(-1).cast("bigint"))
 
 
 def long_to_ip(c: str | Column) -> Column:

@@ -382,7 +382,7 @@ def flatten(df: DataFrame) -> DataFrame:
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             out.append(F.to_json(col).alias(name))
             for f in kind.elementType.fields:
-                texts = F.transform(col, lambda x, f=f: x.getField(f.name).cast("string"))
+                texts = F.transform(col.getField(f.name), lambda x: x.cast("string"))
                 out.append(F.array_join(texts, ",").alias(f"{name}.{f.name}"))
         elif isinstance(kind, (T.MapType, T.ArrayType)):
             out.append(F.to_json(col).alias(name))

@@ -85,12 +85,11 @@ def ip_location(df: DataFrame, ip: str, ranges: DataFrame, lo: str, hi: str,
                 custom: DataFrame | None = None, custom_key: str = "ip") -> DataFrame:
     """Location of an IPv4 address: private ranges none, a user dictionary first, then the range table."""
     fields = [c for c in ranges.columns if c not in (lo, hi)]
-    number = ip_to_long(ip)
-    private = F.lit(False)
+    number, private = F.col("_number"), F.lit(False)
     for first, last in PRIVATE_RANGES:
         private = private | number.between(_number(first), _number(last))
-    keyed = df.withColumn("_ip", F.when((number >= 0) & ~private, number))
-    out = range_lookup(keyed, "_ip", ranges, lo, hi).drop("_ip", lo, hi)
+    keyed = df.withColumn("_number", ip_to_long(ip)).withColumn("_ip", F.when((number >= 0) & ~private, number))
+    out = range_lookup(keyed.drop("_number"), "_ip", ranges, lo, hi).drop("_ip", lo, hi)
     named = {f: f"{ip}_{f}" for f in fields}
     out = out.select(*df.columns, *[F.col(f).alias(n) for f, n in named.items()])
     if custom is None:

@@ -373,10 +373,11 @@ def script(assignments: dict[str, str] | None = None, function=None, schema=None
         if assignments:
             return df.withColumns({k: F.expr(v) for k, v in assignments.items()})
 
+        names = list(schema.names if hasattr(schema, "names") else T._parse_datatype_string(schema).names)
+
         def batches(frames):
             import pandas as pd
 
-            names = schema.names if hasattr(schema, "names") else T._parse_datatype_string(schema).names
             for frame in frames:
                 try:
                     out = function(frame)

@@ -15,9 +15,28 @@ def numbered(df: DataFrame, text: str = "value") -> DataFrame:
                      F.monotonically_increasing_id().alias("row"), F.col("value").alias(text))
 
 
+def decoded(df: DataFrame, text: str, encoding: str) -> DataFrame:
+    """The text source keeps the bytes of a line as they are; read them in their encoding."""
+    name = encoding.upper()
+    if name in ("UTF-8", "UTF8"):
+        return df
+    raw = F.col(text).cast("binary")
+    if name in ("US-ASCII", "ISO-8859-1", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"):
+        return df.withColumn(text, F.decode(raw, name))
+
+    @F.pandas_udf("string")
+    def decode(lines_of_bytes):
+        return lines_of_bytes.map(lambda b: b.decode(encoding, "replace"))
+
+    return df.withColumn(text, decode(raw))
+
+
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8", skip: int = 0) -> DataFrame:
     """Lines of text files; the first `skip` lines of every file are left out."""
-    df = numbered(spark.read.option("encoding", encoding).text(path))
+    reader = spark.read.option("encoding", encoding)
+    if encoding.upper().startswith(("UTF-16", "UTF-32")):  # a line end is more than one byte
+        reader = reader.option("lineSep", "\n")
+    df = decoded(numbered(reader.text(path)), "value", encoding)
     if not skip:
         return df
     first = df.where("block = 0").groupBy("path").agg(F.min("row").alias("_first"))
