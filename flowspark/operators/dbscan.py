@@ -70,6 +70,7 @@ def dbscan(df: DataFrame, fields: Sequence[str], eps: float, min_points: int, ro
     points = points.groupBy(*[f"x{i}" for i in range(dims)]).agg(first.alias("_first"))
     cell = F.array(*[F.floor(F.col(f"x{i}") / side).cast("long") for i in range(dims)])
     points = checkpoint(points.withColumn("cell", cell))
+    rows = points.count()
     sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     points = join_back(points, sizes, ["cell"])
     dense_cells = sizes.where(F.col("size") >= need).select("cell")
@@ -82,7 +83,7 @@ def dbscan(df: DataFrame, fields: Sequence[str], eps: float, min_points: int, ro
     probes = sparse.select(*[F.col(f"x{i}").alias(f"p{i}") for i in range(dims)], F.explode(around).alias("cell"))
     targets = points.select("cell", *[f"x{i}" for i in range(dims)])
     # a sparse cell has fewer than `need` points, so each target row meets a bounded number of probes
-    pairs = salted_join(targets, probes, ["cell"]).where(near(_distance2("p", "x", dims)))
+    pairs = salted_join(targets, probes, ["cell"], rows=rows).where(near(_distance2("p", "x", dims)))
     key = [f"p{i}" for i in range(dims)]
     # the join already pairs a point with itself
     counted = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("near"))
@@ -104,7 +105,7 @@ def dbscan(df: DataFrame, fields: Sequence[str], eps: float, min_points: int, ro
     # edges between a sparse core point and any core point near it
     core_probes = sparse.join(named, [f"x{i}" for i in range(dims)]).select(
         *[F.col(f"x{i}").alias(f"p{i}") for i in range(dims)], F.explode(around).alias("cell"), F.col("node").alias("a"))
-    touching = salted_join(cores, core_probes, ["cell"]).where(near(_distance2("p", "x", dims)))
+    touching = salted_join(cores, core_probes, ["cell"], rows=rows).where(near(_distance2("p", "x", dims)))
     edges = touching.select("a", F.col("node").alias("b")).distinct()
     edges = edges.unionByName(_dense_edges(points, dense_cells, dims, side, offsets, limit, inclusive, node_of_cell))
     edges = edges.unionByName(cores.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct())
@@ -121,7 +122,7 @@ def dbscan(df: DataFrame, fields: Sequence[str], eps: float, min_points: int, ro
     labelled_cells = cores.join(clusters, "node").join(ranked, "component").select("cell", "label", *[f"x{i}" for i in range(dims)])
     border_probes = sparse.join(named, [f"x{i}" for i in range(dims)], "left_anti").select(
         *[F.col(f"x{i}").alias(f"p{i}") for i in range(dims)], F.explode(around).alias("cell"))
-    border = salted_join(labelled_cells, border_probes, ["cell"]).where(near(_distance2("p", "x", dims)))
+    border = salted_join(labelled_cells, border_probes, ["cell"], rows=rows).where(near(_distance2("p", "x", dims)))
     border = border.groupBy(*key).agg(F.min("label").alias("label")).select(*[F.col(f"p{i}").alias(f"x{i}") for i in range(dims)], "label")
     answer = labelled.unionByName(border)
     rows = df.withColumns({f"_x{i}": F.col(f).cast("double") for i, f in enumerate(fields)})

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowspark.plans.scale import checkpoint
+
 MAX_WIDTH = 4096  # widest feature vector whose width x width matrices are held on the driver
 
 
@@ -142,7 +144,8 @@ def train_svm(df: DataFrame, features: str, label: str, reg: float = 0.01, max_i
               max_labels: int = 50) -> DataFrame:
     """Two classes give one model row. More give one row per label pair and one per label against
     all others (positive = negative = the label)."""
-    ready = as_vector(df, features).withColumn("_text", F.col(label).cast("string"))
+    # written once: every model below reads it again
+    ready = checkpoint(as_vector(df, features).select("_features", F.col(label).cast("string").alias("_text")))
     labels = sorted(r[0] for r in ready.select("_text").distinct().limit(max_labels + 1).collect())
     if len(labels) > max_labels:
         raise ValueError(f"more than {max_labels} labels")

@@ -113,12 +113,15 @@ def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 # joins with heavy keys
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+                heavy_rows: int = HEAVY_ROWS, rows: int | None = None) -> DataFrame:
     """Equi join where keys with many left rows are spread over several tasks.
 
     Heavy keys are found by an exact partial count. Their left rows get a salt, their right
     rows one copy per salt; all other keys join as usual. `how`: inner, left, left_semi, left_anti.
+    `rows`, the known size of `left`, saves the count when no key can be heavy.
     """
+    if rows is not None and rows <= heavy_rows:
+        return left.join(right, list(keys), how)
     counts = left.groupBy(*keys).count()
     most = counts.agg(F.max("count").alias("m")).first()["m"] or 0
     if most <= heavy_rows:

@@ -70,12 +70,12 @@ def test_svm_separates_three_classes(spark):
     rng = np.random.default_rng(3)
     centres = {"a": (0, 0), "b": (6, 0), "c": (0, 6)}
     rows = [(k, [float(v) for v in rng.normal(c, 0.5)]) for k, c in centres.items() for _ in range(40)]
-    df = spark.createDataFrame(rows, "kind string, x array<double>")
-    model = models.train_svm(df, "x", "kind")
+    df = spark.createDataFrame(rows, "kind string, x array<double>").coalesce(1)
+    model = models.train_svm(df, "x", "kind", max_iter=8)
     assert model.count() == 6
     out = models.score_svm(df, model, "x")
     assert out.where("kind = label").count() >= 110
-    two = models.train_svm(df.where("kind <> 'c'"), "x", "kind")
+    two = models.train_svm(df.where("kind <> 'c'"), "x", "kind", max_iter=8)
     assert two.count() == 1 and two.first()["accuracy"] > 0.95
 
 
