@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from flowspark.operators.enrich import lookup
 from flowspark.plans.scale import lookup_join
@@ -57,11 +57,12 @@ def keyed_lookup(load: Callable[[], DataFrame], column: str, key: str, write: Wr
     return step
 
 
-def side_sql(sql: str, stream_name: str, tables: dict[str, Callable[[], DataFrame]], write: Write) -> Write:
-    """SQL over the micro-batch and reference tables."""
+def side_sql(sql: str, stream_name: str, tables: dict[str, Callable[[SparkSession], DataFrame]], write: Write) -> Write:
+    """SQL over the micro-batch and reference tables. Tables are loaded in the micro-batch's own
+    session, where the SQL looks for them."""
 
     def step(batch: DataFrame, number: int) -> None:
-        write(run_sql({stream_name: batch, **{n: load() for n, load in tables.items()}}, sql), number)
+        write(run_sql({stream_name: batch, **{n: load(batch.sparkSession) for n, load in tables.items()}}, sql), number)
 
     return step
 

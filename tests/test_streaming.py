@@ -86,7 +86,7 @@ def test_reference_tables(spark, left, tmp_path):
     windows.run_to_table(live(spark, left), each=step)
     assert {tuple(r) for r in spark.read.parquet(f"{folder}/k0").select("a", "n").collect()} == {("x", "X1"), ("y", "Y"), ("z", None)}
     sql = "SELECT s.a, d.n FROM s LEFT JOIN d ON s.a = d.a"
-    windows.run_to_table(live(spark, left), each=lookup.side_sql(sql, "s", {"d": load}, lambda d, n: d.write.parquet(f"{folder}/q{n}")))
+    windows.run_to_table(live(spark, left), each=lookup.side_sql(sql, "s", {"d": lambda own: own.createDataFrame([("x", "X1"), ("x", "X2"), ("y", "Y")], "a string, n string")}, lambda d, n: d.write.parquet(f"{folder}/q{n}")))
     assert spark.read.parquet(f"{folder}/q0").count() == 12
 
 
@@ -98,8 +98,8 @@ def test_refreshed_table_is_loaded_again_when_old(spark):
 
 def test_change_log_over_two_batches(spark, tmp_path):
     folder, state_folder = tmp_path / "in", str(tmp_path / "s")
-    stream = live(spark, folder, "k string, v int", maxFilesPerTrigger=1)
     os.makedirs(folder)
+    stream = live(spark, folder, "k string, v int", maxFilesPerTrigger=1)
     drop(folder, "1.json", [("a", 1), ("b", 1)], ("k", "v"))
     agg = stream.groupBy("k").agg(F.sum("v").alias("s"))
     step = state.change_log(state_folder, ["k"], ["s"])
