@@ -415,12 +415,14 @@ def forecast(df: DataFrame, keys: Sequence[str], time: str, fields: Sequence[str
         values, times = frame["value"].to_numpy(dtype=float), frame[time].to_numpy()
         head = {k: frame[k].iloc[0] for k in by}
         if len(values) < 2:
-            return pd.DataFrame({**{k: [] for k in by}, time: [], "value": []})
+            return pd.DataFrame({**{k: pd.Series([], dtype=object) for k in by}, time: pd.Series([], dtype="datetime64[ns]"),
+                                 "value": pd.Series([], dtype="float64")})
         step = times[1] - times[0]
         n = int(seconds // max(step / np.timedelta64(1, "s"), 1e-9))
         stored = frame["model"].iloc[0]
         model = json.loads(stored) if isinstance(stored, str) else train(values, kind, period, additive)
-        out = pd.DataFrame({time: [times[-1] + step * (i + 1) for i in range(n)], "value": predict(model, values, n)})
+        out = pd.DataFrame({time: pd.Series([times[-1] + step * (i + 1) for i in range(n)], dtype="datetime64[ns]"),
+                            "value": pd.Series(predict(model, values, n), dtype="float64")})
         for at, (k, v) in enumerate(head.items()):
             out.insert(at, k, v)
         return out
