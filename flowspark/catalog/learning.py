@@ -140,7 +140,7 @@ def _(t: Tables):
 def _(t: Tables):
     df = t.documents.join(t.labels, "doc_id").select(F.array(F.log1p("n_chars"), F.size(F.split("text", " ")).cast("double")).alias("x"), "quality")
     fitted = models.train_logistic(df, "x", "quality")
-    scored = fitted.transform(models.as_vector(df, "x"))
+    scored = models.score_logistic(df, fitted, "x")
     return scored.groupBy("quality", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -120,6 +120,17 @@ def train_logistic(df: DataFrame, features: str, label: str, reg: float = 0.01,
     return LogisticRegression(featuresCol="_features", labelCol=label, regParam=reg, maxIter=max_iter).fit(ready)
 
 
+def score_logistic(df: DataFrame, fitted, features: str, out: str = "prediction") -> DataFrame:
+    """Most likely class (0, 1, ...) by the fitted margins, as plain column expressions."""
+    matrix, offsets = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    x = as_array(df, features)
+    margins = [dot(x, row) + F.lit(float(b)) for row, b in zip(matrix, offsets)]
+    if len(margins) == 1:
+        return df.withColumn(out, F.when(margins[0] > 0, 1.0).otherwise(0.0))
+    best = F.array_max(F.array(*[F.struct(m.alias("m"), F.lit(-i).alias("i")) for i, m in enumerate(margins)]))
+    return df.withColumn(out, (-best.getField("i")).cast("double"))
+
+
 def train_glm(df: DataFrame, features: str, label: str, family: str = "gaussian", link: str | None = None, reg: float = 0.0):
     ready = as_vector(df, features)
     learner = GeneralizedLinearRegression(featuresCol="_features", labelCol=label, family=family, regParam=reg)

@@ -270,3 +270,9 @@ def test_sparse_vectors_are_appended(spark):
     out = vectors.one_hot(vectors.tf_idf(df, "t", features=16), "c")
     sizes = {r["vector"].size for r in out.select("vector").collect()}
     assert sizes == {16 + 3} or sizes == {16 + 2}
+
+
+def test_logistic_scores(spark):
+    df = spark.createDataFrame([([float(i), 1.0], float(i > 20)) for i in range(40)], "x array<double>, y double").coalesce(1)
+    fitted = models.train_logistic(df, "x", "y", reg=0.001)
+    assert models.score_logistic(df, fitted, "x").where("y = prediction").count() >= 38
