@@ -81,17 +81,18 @@ def _(t: Tables):
 
 
 @query("m06_dbscan_strict", """
-WITH p AS (SELECT value AS x, min(event_id) AS id FROM events WHERE value > 120 GROUP BY 1),
-c AS (SELECT a.x, a.id, count(b.x) - 1 AS n FROM p a JOIN p b ON abs(a.x - b.x) < 1.5 GROUP BY ALL),
-k AS (SELECT x, id, CASE WHEN x - lag(x) OVER (ORDER BY x) < 1.5 THEN 0 ELSE 1 END AS s FROM c WHERE n >= 4),
+WITH p AS (SELECT value AS x, min(event_id) AS id FROM events GROUP BY 1),
+c AS (SELECT x, id, count(*) OVER (ORDER BY x RANGE BETWEEN 0.045 PRECEDING AND 0.045 FOLLOWING) - 1 AS n FROM p),
+k AS (SELECT x, id, CASE WHEN x - lag(x) OVER (ORDER BY x) < 0.045 THEN 0 ELSE 1 END AS s FROM c WHERE n >= 7),
 g AS (SELECT x, id, sum(s) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS g FROM k),
 r AS (SELECT g, dense_rank() OVER (ORDER BY min(id)) AS label FROM g GROUP BY g),
 l AS (SELECT x, label FROM g JOIN r USING (g)
-      UNION ALL SELECT c.x, min(r.label) FROM c JOIN g ON abs(g.x - c.x) < 1.5 JOIN r ON r.g = g.g WHERE c.n < 4 GROUP BY c.x)
+      UNION ALL SELECT c.x, min(r.label) FROM c JOIN g ON g.x BETWEEN c.x - 0.045 AND c.x + 0.045 JOIN r ON r.g = g.g WHERE c.n < 7 GROUP BY c.x)
 SELECT event_id, CAST(label AS INTEGER) AS label FROM events JOIN l ON value = l.x""")
 def _(t: Tables):
-    df = t.events.where("value > 120").select("event_id", "value")
-    return dbscan(df, ["value"], 1.5, 4, "event_id", inclusive=False, count_self=False).select("event_id", "label")
+    # values lie on a grid of 0.01, so a strict and an inclusive bound of 0.045 agree
+    df = t.events.select("event_id", "value")
+    return dbscan(df, ["value"], 0.045, 7, "event_id", inclusive=False, count_self=False).select("event_id", "label")
 
 
 def _centroids(t: Tables, k: int = 4):

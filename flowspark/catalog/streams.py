@@ -69,10 +69,10 @@ def _(t: Tables):
 
 @query("g06_stream_sql", f"""
 SELECT epoch_ms(w) AS w_start, event_type, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS w FROM events)
-WHERE w + INTERVAL 1 DAY <= {_SEEN} AND user_id > 3 GROUP BY ALL""")
+WHERE w + INTERVAL 1 DAY <= {_SEEN} AND event_type <> 'error' GROUP BY ALL""")
 def _(t: Tables):
     _stream(t).createOrReplaceTempView("live_events")
-    out = t.spark.sql("""SELECT window.start AS w_start, event_type, count(*) AS n FROM live_events WHERE user_id > 3
+    out = t.spark.sql("""SELECT window.start AS w_start, event_type, count(*) AS n FROM live_events WHERE event_type <> 'error'
                          GROUP BY window(ts, '1 day'), event_type""")
     return windows.finished(out).select(F.unix_millis("w_start").alias("w_start"), "event_type", "n")
 
@@ -145,14 +145,14 @@ def _(t: Tables):
 
 
 _PAIR = f"""
-WITH e AS (SELECT event_id, user_id, value, {{bucket}} AS w FROM events {{more}})
+WITH e AS (SELECT event_id, user_id, event_type, {{bucket}} AS w FROM events {{more}})
 SELECT epoch_ms(a.w) AS w_start, a.event_id AS l_event_id, b.event_id AS r_event_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.w = b.w
-WHERE a.value > 150 AND b.value < 20"""
+WHERE a.event_type = 'click' AND b.event_type = 'purchase'"""
 
 
 @query("j03_tumbling_stream_join", _PAIR.format(bucket="time_bucket(INTERVAL 6 HOUR, ts)", more=""))
 def _(t: Tables):
-    left, right = _stream(t).where("value > 150"), _stream(t).where("value < 20")
+    left, right = _stream(t).where("event_type = 'click'"), _stream(t).where("event_type = 'purchase'")
     cols = ["event_id", "user_id", "ts"]
     out = joins.window_join(left.select(*cols), right.select(*cols), [("user_id", "user_id")], "ts", "ts", "6 hours")
     return windows.finished(out).select(F.unix_millis("w_start").alias("w_start"), "l_event_id", "r_event_id")
@@ -160,35 +160,35 @@ def _(t: Tables):
 
 @query("j04_sliding_stream_join", _PAIR.format(bucket="time_bucket(INTERVAL 3 HOUR, ts) - o * INTERVAL 3 HOUR", more=", range(2) r(o)"))
 def _(t: Tables):
-    left, right = _stream(t).where("value > 150"), _stream(t).where("value < 20")
+    left, right = _stream(t).where("event_type = 'click'"), _stream(t).where("event_type = 'purchase'")
     cols = ["event_id", "user_id", "ts"]
     out = joins.window_join(left.select(*cols), right.select(*cols), [("user_id", "user_id")], "ts", "ts", "6 hours", "3 hours")
     return windows.finished(out).select(F.unix_millis("w_start").alias("w_start"), "l_event_id", "r_event_id")
 
 
 @query("j05_session_stream_join", f"""
-WITH u AS (SELECT user_id, ts, event_id, value FROM events WHERE value > 150 OR value < 20),
+WITH u AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type IN ('click', 'purchase')),
 s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM u),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s),
 c AS (SELECT user_id, g, min(ts) AS a FROM g GROUP BY ALL HAVING max(ts) + INTERVAL 1 HOUR <= {_SEEN})
 SELECT epoch_ms(a) AS w_start, x.event_id AS l_event_id, y.event_id AS r_event_id FROM c JOIN g x USING (user_id, g) JOIN g y USING (user_id, g)
-WHERE x.value > 150 AND y.value < 20""")
+WHERE x.event_type = 'click' AND y.event_type = 'purchase'""")
 def _(t: Tables):
     cols = ["event_id", "user_id", "ts"]
-    left, right = _stream(t).where("value > 150").select(*cols), _stream(t).where("value < 20").select(*cols)
+    left, right = _stream(t).where("event_type = 'click'").select(*cols), _stream(t).where("event_type = 'purchase'").select(*cols)
     out = joins.session_join(left, right, [("user_id", "user_id")], "ts", "ts", "1 hour", "10 seconds")
     return windows.finished(out).select(F.unix_millis("w_start").alias("w_start"), "l_event_id", "r_event_id")
 
 
 @query("j06_arrival_stream_join", """
-SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.value > 200 AND b.value < 5""")
+SELECT a.event_id AS l_event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
 def _(t: Tables):
     folder = _folder(t)
-    left = _stream(t).where("value > 200").select(C("event_id").alias("l_event_id"), "user_id")
+    left = _stream(t).where("event_type = 'click'").select(C("event_id").alias("l_event_id"), "user_id")
 
     def each(batch, number):
         # arrival order: a micro-batch meets the rows of the other side that are there when it runs
-        right = t.events.where("value < 5").select(C("event_id").alias("r_event_id"), "user_id")
+        right = t.events.where("event_type = 'purchase'").select(C("event_id").alias("r_event_id"), "user_id")
         batch.join(right, "user_id").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     windows.run_to_table(left, "append", each, folder)

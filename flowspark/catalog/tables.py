@@ -521,13 +521,13 @@ def _(t: Tables):
 # -- merges -----------------------------------------------------------------------------------------
 
 @query("k11_merge_partial", """
-WITH b AS (SELECT o_custkey AS c_custkey, max((o_orderdate, o_orderkey, o_orderstatus)) AS r FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+WITH b AS (SELECT o_custkey AS c_custkey, max((o_orderdate, o_orderkey, o_orderstatus)) AS r FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
 SELECT coalesce(c.c_custkey, b.c_custkey) AS c_custkey, c_name, coalesce(r[3], CASE WHEN c.c_custkey % 2 = 0 THEN 'old' END) AS status
-FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0) c FULL JOIN b ON b.c_custkey = c.c_custkey""")
+FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) c FULL JOIN b ON b.c_custkey = c.c_custkey""")
 def _(t: Tables):
-    stored = t.customer.where("c_custkey % 5 <> 0").select(
+    stored = t.customer.where("c_acctbal > 0").select(
         "c_custkey", "c_name", F.when(C("c_custkey") % 2 == 0, F.lit("old")).alias("status"))
-    batch = t.orders.where("o_orderkey % 3 = 0").select(
+    batch = t.orders.where("o_orderstatus <> 'P'").select(
         C("o_custkey").alias("c_custkey"), C("o_orderstatus").alias("status"), "o_orderdate", "o_orderkey")
     return upsert.merge_partial(stored, batch, ["c_custkey"], ["o_orderdate", "o_orderkey"]).select("c_custkey", "c_name", "status")
 
