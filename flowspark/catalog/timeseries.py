@@ -238,3 +238,18 @@ def _(t: Tables):
 def _(t: Tables):
     slots = FC.slots(t.events, K, "ts", ["value"], "hour")
     return FC.model_rows(FC.backtest(slots, K, "ts", ["value"], period=24), K)
+
+
+@query("z22_kpss", f"""
+WITH e AS (SELECT event_type, ts, n, value - avg(value) OVER (PARTITION BY event_type) AS e FROM ({_P})),
+s AS (SELECT *, sum(e) OVER w AS s, lag(e, 1) OVER w AS e1, lag(e, 2) OVER w AS e2, lag(e, 3) OVER w AS e3 FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts))
+SELECT event_type, round(sum(s * s) / max(n) / (sum(e * e) + 2 * (0.75 * sum(e * e1) + 0.5 * sum(e * e2) + 0.25 * sum(e * e3))), 6) AS statistic FROM s GROUP BY 1""")
+def _(t: Tables):
+    return S.kpss_test(_s(t), K, "ts", "value", 3).select("event_type", F.round("statistic", 6).alias("statistic"))
+
+
+@query("z25_breusch_pagan", """
+SELECT event_type, round(count(*) * regr_r2(value * value, user_id % 7), 6) AS statistic FROM events GROUP BY 1""")
+def _(t: Tables):
+    df = t.events.select("event_type", "value", (C("user_id") % 7).cast("double").alias("x"))
+    return S.breusch_pagan(df, K, "value", ["x"]).select("event_type", F.round("statistic", 6).alias("statistic"))
