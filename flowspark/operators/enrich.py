@@ -18,7 +18,7 @@ def lookup(df: DataFrame, table: DataFrame, column: str, key: str, order: Sequen
     one = first_per_key(table.where(F.col(key).isNotNull()), [key], order)
     names = {c: (f"{c}_{column}" if c in df.columns else c) for c in one.columns if c != key}
     dim = one.select(F.col(key).alias(column), *[F.col(c).alias(n) for c, n in names.items()])
-    return lookup_join(df, dim, [column]).select(*df.columns, *names.values())
+    return lookup_join(df, dim, [column], bound=table).select(*df.columns, *names.values())
 
 
 def dictionary(df: DataFrame, table: DataFrame, column: str, key: str, prefix: str | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def dictionary(df: DataFrame, table: DataFrame, column: str, key: str, prefix: s
     prefix = prefix or column
     one = first_per_key(table, [key], [c for c in table.columns if c != key])
     dim = one.select(F.col(key).alias(column), *[F.col(c).alias(f"{prefix}_{c}") for c in one.columns if c != key])
-    return lookup_join(df, dim, [column]).select(*df.columns, *[c for c in dim.columns if c != column])
+    return lookup_join(df, dim, [column], bound=table).select(*df.columns, *[c for c in dim.columns if c != column])
 
 
 def region_by_prefix(df: DataFrame, number: str, regions: DataFrame, code: str, digits: int = 6) -> DataFrame:

@@ -143,8 +143,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def lookup_join(left: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left",
-                max_bytes: int = BROADCAST_BYTES, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Join to a reference table: broadcast when measured small, salted shuffle join beyond."""
+                max_bytes: int = BROADCAST_BYTES, heavy_rows: int = HEAVY_ROWS, bound: DataFrame | None = None) -> DataFrame:
+    """Join to a reference table: broadcast when measured small, salted shuffle join beyond.
+
+    `bound` is a table `dim` cannot be larger than (its input before duplicates went); when that
+    is small already, `dim` need not be computed to be measured.
+    """
+    if bound is not None and measured_bytes(bound) <= max_bytes:
+        return left.join(F.broadcast(dim), list(keys), how)
     hinted, small = broadcast_if_small(dim, max_bytes)
     if small:
         return left.join(hinted, list(keys), how)
