@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, tokens
+from flowspark.llm import bpe, fingerprints, licenses, tokens
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,16 @@ def byte_bpe(documents: DataFrame) -> DataFrame:
     return bpe.round_trip(documents, *vocabulary("byte_bpe_50k.tiktoken"))
 
 
+@query("op4_document_fingerprints")
+def document_fingerprints(documents: DataFrame) -> DataFrame:
+    return fingerprints.compared(documents)
+
+
 @query("op6_token_counts")
 def token_counts(documents: DataFrame) -> DataFrame:
     return tokens.token_counts(documents, vocabulary("piece_bpe_32k.model")[0])
+
+
+@query("op2_license_scan", sql=licenses.oracle())
+def license_scan(documents: DataFrame) -> DataFrame:
+    return licenses.labelled(documents)
