@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, fingerprints, licenses, tokens
+from flowspark.llm import bpe, fingerprints, licenses, minhash, tokens
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def byte_bpe(documents: DataFrame) -> DataFrame:
     return bpe.round_trip(documents, *vocabulary("byte_bpe_50k.tiktoken"))
 
 
+@query("op3_minhash_near_dedup", sql=minhash.ORACLE)
+def minhash_near_dedup(documents: DataFrame) -> DataFrame:
+    return minhash.near_duplicates(documents)
+
+
 @query("op4_document_fingerprints")
 def document_fingerprints(documents: DataFrame) -> DataFrame:
     return fingerprints.compared(documents)
