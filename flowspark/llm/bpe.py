@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from flowspark.llm.shared import free_name, in_parts, ready
 
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 500_000
 DUCKDB_MEMORY = "400MB"
 LONG_PIECE = 128  # bytes; longer pieces leave the query for a queue, as it keeps every state of a piece
 STATE_ROWS = 8_000_000  # bound on the states of one recursive query
@@ -60,22 +61,20 @@ def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class Memo:
-    """Two generations: the older one goes when the younger is full, so what is used stays."""
+class Memo(dict):
+    """Results by key, forgotten together when there are too many; a batch's own keys always fit."""
 
     def __init__(self, entries: int):
-        self.entries, self.young, self.old = entries, {}, {}
+        super().__init__()
+        self.entries = entries
 
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    def missing(self, keys: set) -> list:
+        """The keys without a result yet; put theirs in before the next call."""
+        fresh = keys.difference(self)
+        if len(self) + len(fresh) > self.entries and len(self):
+            self.clear()
+            fresh = keys
+        return list(fresh)
 
 
 class Codec:
@@ -106,7 +105,7 @@ class Codec:
             "lhs": [s[0] for s in splits], "rhs": [s[1] for s in splits], "merged": [s[2] for s in splits]})
         self.load("CREATE TABLE vocabulary AS SELECT id::INT AS id, hex FROM given", {
             "id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
-        self.units, self.runs = Memo(memo), Memo(memo)
+        self.heads, self.units, self.runs = Memo(memo // 8), Memo(memo), Memo(memo)
 
     def load(self, sql: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -170,59 +169,39 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text. Units between single blanks are the memo's keys: no piece crosses such a blank."""
-        units: list[list[str]] = []
-        for text in texts:
-            if self.uneven.search(text):
-                units.append(self.safe.split(text))
-            else:
-                units.append(text.split(" ") if text else [])
-        known: dict[str, bytes | None] = {}
-        for parts in units:
-            if parts:
-                known[parts[0]] = None
-                for part in set(parts[1:]):
-                    known[" " + part] = None
-        new = []
-        for unit in known:
-            known[unit] = self.units.get(unit)
-            if known[unit] is None:
-                new.append(unit)
-        if new:
-            cut = [[p.encode() for p in self.pattern.findall(unit)] for unit in new]
-            distinct = list(dict.fromkeys(p for pieces in cut for p in pieces))
-            table = dict(zip(distinct, self.encode_pieces(distinct)))
-            for unit, pieces in zip(new, cut):
-                known[unit] = packed = b"".join([table[p] for p in pieces])
-                self.units.put(unit, packed)
-        spaced = {unit[1:]: packed for unit, packed in known.items() if unit[:1] == " "}
-        return [known[parts[0]] + b"".join([spaced[p] for p in parts[1:]]) if parts else b"" for parts in units]
+        cut = [self.safe.split(text) if self.uneven.search(text) else text.split(" ") for text in texts]
+        heads = {parts[0] for parts in cut}
+        rest: set[str] = set()
+        for parts in cut:
+            rest.update(parts[1:])
+        for memo, units, blank in ((self.heads, heads, ""), (self.units, rest, " ")):
+            if new := memo.missing(units):
+                pieces = [[p.encode() for p in self.pattern.findall(blank + unit)] for unit in new]
+                distinct = list(dict.fromkeys(chain.from_iterable(pieces)))
+                table = dict(zip(distinct, self.encode_pieces(distinct)))
+                memo.update(zip(new, [b"".join([table[p] for p in own]) for own in pieces]))
+        unit = self.units.__getitem__
+        return [self.heads[parts[0]] + b"".join(map(unit, parts[1:])) for parts in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence. Runs that begin at a token with a leading blank are the memo's keys."""
         cut: list[list[bytes]] = []
-        known: dict[bytes, bytes | None] = {}
+        distinct: set[bytes] = set()
         for ids in packed:
             at = np.flatnonzero(self.spaced[np.frombuffer(ids, dtype="<i4")]) * 4
             ends = [0, *at[at > 0].tolist(), len(ids)]
-            runs = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])] if ids else []
+            runs = [ids[a:b] for a, b in pairwise(ends)] if ids else []
             cut.append(runs)
-            known.update(dict.fromkeys(runs))
-        new = []
-        for run in known:
-            known[run] = self.runs.get(run)
-            if known[run] is None:
-                new.append(run)
-        if new:
+            distinct.update(runs)
+        if new := self.runs.missing(distinct):
             sizes = np.array([len(run) // 4 for run in new], dtype=np.int64)
             flat = np.frombuffer(b"".join(new), dtype="<i4")
             place = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             self.con.register("tokens", pa.table({"run": np.repeat(np.arange(len(new)), sizes), "pos": place, "id": flat}))
             found = self.con.sql(DECODE).to_arrow_table()
             self.con.unregister("tokens")
-            for i, raw in zip(found["run"].to_pylist(), found["raw"].to_pylist()):
-                known[new[i]] = raw
-                self.runs.put(new[i], raw)
-        return [b"".join([known[run] for run in runs]) for runs in cut]
+            self.runs.update((new[i], raw) for i, raw in zip(found["run"].to_pylist(), found["raw"].to_pylist()))
+        return [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
 
 
 _CODECS: dict[tuple, Codec] = {}

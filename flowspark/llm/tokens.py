@@ -52,18 +52,13 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.units(t) for t in texts]
-        known = dict.fromkeys(u for units in cut for u in units)
-        new = []
-        for unit in known:
-            known[unit] = self.memo.get(unit)
-            if known[unit] is None:
-                new.append(unit)
+        distinct: set[str] = set()
+        for units in cut:
+            distinct.update(units)
+        new = self.memo.missing(distinct)
         for part in in_parts(new, (len(u) + 8 for u in new), self.group_bytes):
-            for unit, ids in zip(part, self.model.encode(part, num_threads=1)):
-                known[unit] = len(ids)
-                if len(unit) <= 256:
-                    self.memo.put(unit, len(ids))
-        return [sum(map(known.__getitem__, units)) for units in cut]
+            self.memo.update(zip(part, map(len, self.model.encode(part, num_threads=1))))
+        return [sum(map(self.memo.__getitem__, units)) for units in cut]
 
 
 _COUNTERS: dict[str, Counter] = {}
