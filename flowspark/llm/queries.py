@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, fingerprints, licenses, minhash, tokens
+from flowspark.llm import bpe, fingerprints, licenses, minhash, substrings, tokens
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def token_counts(documents: DataFrame) -> DataFrame:
 @query("op2_license_scan", sql=licenses.oracle())
 def license_scan(documents: DataFrame) -> DataFrame:
     return licenses.labelled(documents)
+
+
+@query("op8_substring_dedup", sql=substrings.ORACLE)
+def substring_dedup(documents: DataFrame) -> DataFrame:
+    return substrings.repeats(documents)
