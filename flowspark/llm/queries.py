@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, fingerprints, licenses, minhash, substrings, tokens
+from flowspark.llm import bpe, fingerprints, licenses, minhash, mixing, substrings, tokens
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def license_scan(documents: DataFrame) -> DataFrame:
 @query("op8_substring_dedup", sql=substrings.ORACLE)
 def substring_dedup(documents: DataFrame) -> DataFrame:
     return substrings.repeats(documents)
+
+
+@query("op5_source_mixing", sql=mixing.ORACLE)
+def source_mixing(documents: DataFrame) -> DataFrame:
+    return mixing.plan(documents).drop("text_md5")
