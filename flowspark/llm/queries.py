@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, fingerprints, licenses, minhash, mixing, substrings, tokens
+from flowspark.llm import bpe, fingerprints, licenses, minhash, mixing, quality, substrings, tokens
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
 @query("op5_source_mixing", sql=mixing.ORACLE)
 def source_mixing(documents: DataFrame) -> DataFrame:
     return mixing.plan(documents).drop("text_md5")
+
+
+@query("op10_quality_outliers")
+def quality_outliers(documents: DataFrame) -> DataFrame:
+    return quality.judged(documents)
