@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, fingerprints, licenses, minhash, mixing, quality, substrings, tokens
+from flowspark.llm import bpe, fingerprints, langid, licenses, minhash, mixing, quality, substrings, tokens
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def source_mixing(documents: DataFrame) -> DataFrame:
 @query("op10_quality_outliers")
 def quality_outliers(documents: DataFrame) -> DataFrame:
     return quality.judged(documents)
+
+
+@query("op9_language_id")
+def language_id(documents: DataFrame) -> DataFrame:
+    return langid.predictions(documents)
