@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, fingerprints, langid, licenses, minhash, mixing, quality, substrings, tokens
+from flowspark.llm import bpe, fingerprints, langid, licenses, minhash, mixing, quality, substrings, tokens, warc
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def quality_outliers(documents: DataFrame) -> DataFrame:
 @query("op9_language_id")
 def language_id(documents: DataFrame) -> DataFrame:
     return langid.predictions(documents)
+
+
+@query("op7_warc_archives", table="pages", sql=warc.ORACLE)
+def warc_archives(pages: DataFrame) -> DataFrame:
+    return warc.archived(pages)
