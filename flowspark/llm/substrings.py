@@ -203,21 +203,29 @@ def repeats(documents: DataFrame, text: str = "text") -> DataFrame:
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
-    """`documents` with the repeated words cut out of the text; untouched texts stay as they are, a null stays null."""
+def without_repeats(documents: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """`documents` with the repeated words cut out of the text and a changed text's code points in `length`, if there is
+    such a column; untouched texts stay as they are, a null stays null."""
     marked, mark = _with_marks(documents, text)
     place = documents.columns.index(text)
+    count = documents.columns.index(length) if length in documents.columns else None
     schema = T.StructType(documents.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, cut = [], []
             for value, at in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if value is not None and at:
                     _, n, kept = stripped(value.encode(), at)
                     value = kept.decode() if n else value
+                    cut.append(bool(n))
+                else:
+                    cut.append(False)
                 texts.append(value)
             columns = batch.columns[:-1]
+            if count is not None:
+                sizes = [len(t) if c else n for t, c, n in zip(texts, cut, columns[count].to_pylist())]
+                columns[count] = pa.array(sizes, batch.schema.field(count).type)
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
