@@ -5,12 +5,14 @@
    value of the first occupied bin of its own fixed random order of all bins (optimal densification). Bins form
    bands of `ROWS`; a band's hash is a bucket.
 2. Documents with equal sets are one class; only a class's smallest id goes on.
-3. In each bucket every member is paired with the smallest id only: a star, so pairs grow with members, not with
-   their square. Pairs that can't reach the threshold by their sizes go; the others are confirmed on full sets.
-4. A bucket whose members ended up in one component is done. In one that still spans components, stars are drawn
-   from further members (`CENTRES` at a time, each of which is then done there) to all members of other components,
-   until no bucket spans two components or no member is left: every pair that shares a bucket has been settled, no
-   bucket is cut short.
+3. In each bucket every member is paired with one centre only: a star, so pairs grow with members, not with their
+   square. The centre is the member that meets most others over all buckets (of equals the smallest id), so it stands
+   in the middle of its group. Every star pair's distance (1 - similarity) is taken on the full sets.
+4. Members that didn't come into the component of their bucket's centre are stragglers. Each becomes the centre of a
+   star of its own (`CENTRES` a bucket and round) to the members of other components. As the distance is a metric, a
+   member can only be linked with it when their distances to the bucket's centre differ by at most 0.25, so a
+   straggler meets few members of a large group of close copies. Rounds go on until no straggler is left: every pair
+   that shares a bucket has been settled, no bucket is cut short.
 5. Components by smallest neighbours over the confirmed edges and the class memberships.
 
 At a similarity of 0.75 a pair shares no bucket with a probability of (1 - 0.75^6)^48 < 1e-4, at 0.8 < 1e-6.
@@ -38,7 +40,7 @@ SHINGLE = 5
 SIMILARITY = 75  # per cent
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-CENTRES = 8
+CENTRES = 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -152,17 +154,34 @@ def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
     return _binary(df, text).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs `(a, b)` whose full sets are similar enough. Joins on the hot centre are split at run time."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs `(a, b)` with their distance and whether they are linked, from the full sets. Joins on a hot centre are
+    split at run time."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
     sized = pairs.join(right, "b").join(left, "a").withColumn("_both", F.size(F.array_intersect("_sa", "_sb")))
-    return sized.where(100 * F.col("_both") >= SIMILARITY * (F.size("_sa") + F.size("_sb") - F.col("_both"))).select("a", "b")
+    union = F.size("_sa") + F.size("_sb") - F.col("_both")
+    return sized.select("a", "b", (1 - F.col("_both") / union).alias("far"), (100 * F.col("_both") >= SIMILARITY * union).alias("linked"))
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs whose sizes allow the similarity."""
-    return pairs.where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+def _starred(classes: DataFrame) -> DataFrame:
+    """`(bucket, node, n, centre)`: members of the buckets that hold two classes or more."""
+    entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+    crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(entries.join(crowded, "bucket"), "members")
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    centres = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
+    return written(members.join(centres, "bucket").select("bucket", "node", "n", "centre"), "stars")
+
+
+def _sets_of(members: DataFrame, documents: DataFrame, text: str) -> DataFrame:
+    """`(node, shingles)` of all members; documents that share no bucket are not read into sets."""
+    nodes = written(members.select("node", "n").distinct(), "nodes")
+    near, _ = broadcast_if_small(nodes.select(F.col("node").alias("doc_id")).distinct())
+    sets = shingle_sets(documents.join(near, "doc_id", "left_semi"), text).withColumnRenamed("doc_id", "node")
+    # an id with several texts stands for the class it names; repeated rows have one set
+    sized = sets.withColumn("n", F.size("shingles").cast("long")).join(nodes, ["node", "n"])
+    return written(sized.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def linked(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -175,56 +194,49 @@ def linked(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     copies = signed.where("doc_id is not null").join(classes.drop("buckets"), ["n_shingles", "set_a", "set_b"])
     copies = copies.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
-    # `n` of the centre comes with the members, so that pairs are sifted before any set is read
-    members = written(entries.join(crowded.drop("size"), "bucket"), "members")
-    nodes = members.select("node").distinct()
-    near, _ = broadcast_if_small(written(nodes.withColumnRenamed("node", "doc_id"), "nodes"))
-    few = documents.join(near, "doc_id", "left_semi")
-    keyed = shingle_sets(few, text).withColumn("_n", F.size("shingles").cast("long"))
-    # an id with several texts stands for the class it names
-    named = keyed.withColumnRenamed("doc_id", "node").groupBy("node", F.xxhash64("shingles").alias("_s")).agg(
-        F.first("shingles").alias("shingles"), F.first("_n").alias("_n"))
-    sets = written(named.join(members.select("node", F.col("n").alias("_n")).distinct(), ["node", "_n"]).select("node", "shingles"), "sets")
-
-    stars = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("_centre")).select(
-        "bucket", F.col("_centre.node").alias("a"), F.col("_centre.n").alias("n_a"))
-    first = members.join(stars, "bucket").where("node <> a").select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"))
-    edges = written(confirmed(_possible(first), sets).unionByName(copies), "edges")
-    left = members.where("node <> least").select("bucket", "node", "n")
-    while True:
-        found = written(components(edges), "components")
-        more = _further(left, found)
-        if more is None:
-            return signed, found
-        pairs, left = more
-        new = written(confirmed(pairs, sets), "edges")
+    members = _starred(classes)
+    sets = _sets_of(members, documents, text)
+    spokes = written(measured(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets), "spokes")
+    edges = written(spokes.where("linked").select("a", "b").unionByName(copies), "edges")
+    found = written(components(edges), "components")
+    side = spokes.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far")
+    placed = members.join(side, ["centre", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    left = _stragglers(placed, found)
+    if left.isEmpty():
+        return signed, found
+    open_members = written(placed.join(left.select("bucket").distinct(), "bucket", "left_semi"), "open")
+    while not left.isEmpty():
+        salts = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRES)) == j, F.struct("node", "n", "far"))) for j in range(CENTRES)]
+        chosen = written(left.groupBy("bucket").agg(F.array_compact(F.array(*salts)).alias("chosen")), "chosen")
+        new = written(measured(_met(open_members, chosen, found), sets).where("linked").select("a", "b"), "edges")
         if not new.isEmpty():
             edges = edges.unionByName(new)
+            found = written(components(edges), "components")
+        done = chosen.select("bucket", F.explode("chosen.node").alias("node"))
+        left = _stragglers(left.join(done, ["bucket", "node"], "left_anti"), found)
+    return signed, found
+
+
+def _component(df: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    side = found.select(F.col("node").alias(node), F.col("component").alias(name))
+    return df.join(side, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _stragglers(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members outside the component of their bucket's centre."""
+    both = _component(_component(members, found, "node", "_own"), found, "centre", "_of_centre")
+    return written(both.where("_own <> _of_centre").select(*members.columns), "stragglers")
 
 
-def _further(left: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs of the next stars of all buckets that span components, and the members left after them.
-
-    The centres of earlier rounds have met everybody in their bucket, so they are no longer in `left`.
-    """
-    placed = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spanning = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *[
-        F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRES)) == j, F.struct("node", "n", "component"))).alias(f"c{j}") for j in range(CENTRES)
-    ]).where("lo <> hi")
-    centres = written(spanning.select("bucket", F.array_compact(F.array(*[f"c{j}" for j in range(CENTRES)])).alias("centres")), "centres")
-    if centres.isEmpty():
-        return None
-    open_members = written(placed.join(centres, "bucket"), "open")
-    met = open_members.select("node", "n", "component", F.explode("centres").alias("c")).where(
-        # two centres of a round meet once
-        "c.component <> component and (c.node < node or not exists(array(c), x -> x.node = node))")
-    pairs = _possible(met.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b"),
-                                 F.when(F.col("c.node") < F.col("node"), F.col("c.n")).otherwise(F.col("n")).alias("n_a"),
-                                 F.when(F.col("c.node") < F.col("node"), F.col("n")).otherwise(F.col("c.n")).alias("n_b")))
-    rest = open_members.where("not exists(centres, x -> x.node = node)").select("bucket", "node", "n")
-    return pairs, rest
+def _met(members: DataFrame, chosen: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct pairs of a chosen straggler and a member of its bucket that can be linked and aren't connected yet."""
+    near = (100 - SIMILARITY) / 100 + 1e-9
+    spread = chosen.select("bucket", F.explode("chosen").alias("c"), "chosen")
+    sizes = f"100 * least(c.n, n) >= {SIMILARITY} * greatest(c.n, n)"
+    met = members.join(spread, "bucket").where(
+        f"c.node <> node and abs(c.far - far) <= {near} and {sizes} and (c.node < node or not exists(chosen, x -> x.node = node))")
+    pairs = met.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
+    return _component(_component(pairs, found, "a", "_x"), found, "b", "_y").where("_x <> _y").select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
