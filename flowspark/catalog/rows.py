@@ -417,7 +417,7 @@ def _(t: Tables):
 
 
 @query("n06_dates", """
-SELECT event_id, epoch_ms(date_trunc('second', ts)) AS from_text, epoch_ms(ts) AS from_ms FROM events""")
+SELECT event_id, epoch_ms(date_trunc('second', ts)) AS from_text, epoch_us(ts) // 1000 AS from_ms FROM events""")
 def _(t: Tables):
     ts = C("ts").cast("timestamp")
     from_text = casts.to_moment(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), "yyyy-MM-dd HH:mm:ss")

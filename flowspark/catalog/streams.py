@@ -54,7 +54,7 @@ def _(t: Tables):
 @query("g04_session_stream", f"""
 WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s)
-SELECT user_id, epoch_ms(min(ts)) AS w_start, count(*) AS n FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 3 HOUR <= {_SEEN}""")
+SELECT user_id, epoch_us(min(ts)) // 1000 AS w_start, count(*) AS n FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 3 HOUR <= {_SEEN}""")
 def _(t: Tables):
     out = windows.finished(windows.window_aggregate(_stream(t), windows.session("ts", "3 hours"), ["user_id"], n=F.count(F.lit(1))))
     return out.select("user_id", F.unix_millis("w_start").alias("w_start"), "n")
@@ -171,7 +171,7 @@ WITH u AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type
 s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM u),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM s),
 c AS (SELECT user_id, g, min(ts) AS a FROM g GROUP BY ALL HAVING max(ts) + INTERVAL 1 HOUR <= {_SEEN})
-SELECT epoch_ms(a) AS w_start, x.event_id AS l_event_id, y.event_id AS r_event_id FROM c JOIN g x USING (user_id, g) JOIN g y USING (user_id, g)
+SELECT epoch_us(a) // 1000 AS w_start, x.event_id AS l_event_id, y.event_id AS r_event_id FROM c JOIN g x USING (user_id, g) JOIN g y USING (user_id, g)
 WHERE x.event_type = 'click' AND y.event_type = 'purchase'""")
 def _(t: Tables):
     cols = ["event_id", "user_id", "ts"]

@@ -296,7 +296,7 @@ def _(t: Tables):
 
 
 @query("a11_thin_out", """
-WITH e AS (SELECT event_type, event_id, epoch_ms(ts) AS ms FROM events), r AS (SELECT min(ms) AS a, max(ms) - min(ms) AS w FROM e),
+WITH e AS (SELECT event_type, event_id, epoch_us(ts) // 1000 AS ms FROM events), r AS (SELECT min(ms) AS a, max(ms) - min(ms) AS w FROM e),
 l1 AS (SELECT e.*, a, w // 3 AS w1 FROM e, r), d1 AS (SELECT *, least((ms - a) // w1, 2) AS g1 FROM l1),
 d2 AS (SELECT *, a + g1 * w1 AS a2, w1 // 3 AS w2 FROM d1), d3 AS (SELECT *, least((ms - a2) // w2, 2) AS g2 FROM d2),
 d4 AS (SELECT *, a2 + g2 * w2 AS a3, w2 // 3 AS w3 FROM d3), d5 AS (SELECT *, least((ms - a3) // w3, 2) AS g3 FROM d4),
@@ -401,7 +401,7 @@ def _(t: Tables):
 
 
 @query("y01_sql_functions", """
-SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, epoch_ms(ts) AS ms, contains(event_type, 'i') AS hit FROM events""")
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, epoch_us(ts) // 1000 AS ms, contains(event_type, 'i') AS hit FROM events""")
 def _(t: Tables):
     register_functions(t.spark)
     view = t.events.select("event_id", C("ts").cast("timestamp").alias("ts"), "event_type")

@@ -99,11 +99,8 @@ def _(t: Tables):
 
 @query("x11_hashing_tf", _DOCS + "SELECT doc_id, CAST(len(tokens) AS DOUBLE) AS mass FROM d")
 def _(t: Tables):
-    from pyspark.ml.functions import vector_to_array
-
     # the sparse vector has 2^20 slots; its total equals the number of tokens
-    out = V.hashing_tf(_docs(t), "tokens", features=1 << 12)
-    return out.select("doc_id", F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda a, x: a + x).alias("mass"))
+    return V.hashing_tf(_docs(t), "tokens").select("doc_id", V.sparse_sum("tf").alias("mass"))
 
 
 @query("x12_idf", _DOCS + """, p AS (SELECT DISTINCT doc_id, unnest(tokens) AS token FROM d)
@@ -121,13 +118,7 @@ def _(t: Tables):
 
 @query("x13_tf_idf_vector")
 def _(t: Tables):
-    out = V.tf_idf(_docs(t), "tokens", features=FEATURES_SMALL)
-    from pyspark.ml.functions import vector_to_array
-
-    return out.select("doc_id", F.round(F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x), 6).alias("mass"))
-
-
-FEATURES_SMALL = 1 << 12
+    return V.tf_idf(_docs(t), "tokens").select("doc_id", F.round(V.sparse_sum("vector"), 6).alias("mass"))
 
 
 @query("x14_one_hot", """
@@ -156,7 +147,7 @@ def _(t: Tables):
 
 
 @query("x17_append_vector", """
-SELECT vec_id, [embedding[1], embedding[64], label] AS v FROM embeddings""")
+SELECT vec_id, [embedding[1]::DOUBLE, embedding[64]::DOUBLE, label::DOUBLE] AS v FROM embeddings""")
 def _(t: Tables):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

@@ -268,7 +268,7 @@ def cef() -> Parser:
         fields = {}
         for i, name in enumerate(CEF_HEADER):
             value = F.trim(F.get(parts, F.lit(i)))
-            value = F.substring(value, 5, 1_000_000) if i == 0 else value
+            value = F.substring(value, F.lit(5), F.length(value)) if i == 0 else value
             fields[name] = F.when(ok & (value != ""), value)
         pair = r"(?:^| )([^ =\\]+=[\s\S]*?)(?=(?: [^ =\\]+=)|$)"
         found = F.transform(F.regexp_extract_all(F.get(parts, F.lit(7)), F.lit(pair), F.lit(1)), lambda kv: F.struct(

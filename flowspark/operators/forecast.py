@@ -133,21 +133,24 @@ class HoltWinters:
         self.period, self.additive, self.weights = period, additive, tuple(float(w) for w in weights)
 
     def start(self, y: Sequence[float]):
-        """Initial state from a centred moving average over the first two periods."""
+        """Initial state by classical decomposition of the first two periods: the line through the centred moving
+        average gives level and trend, the mean deviation from that average per phase the season."""
         p = self.period
+        half = p // 2
+        weights = np.full(2 * half + 1, 1 / p)
+        if p % 2 == 0:
+            weights[[0, -1]] /= 2
         head = np.asarray(y[:2 * p], dtype=float)
-        kernel = np.full(p, 1 / p) if p % 2 else np.r_[0.5 / p, np.full(p - 1, 1 / p), 0.5 / p]
-        trend = np.convolve(head, kernel, "valid")
-        pad = (len(kernel) - 1) // 2
-        base = np.r_[np.zeros(pad), trend, np.zeros(pad)]
-        base = np.r_[base, np.zeros(len(head) - len(base))]
-        off = np.where(base != 0, head - base if self.additive else head / np.where(base == 0, 1, base), 0.0)
-        a, b = off[:p], off[p:2 * p]
-        season = np.where((a == 0) | (b == 0), a + b, (a + b) / 2)
+        places = np.arange(half, len(head) - half)
+        average = np.array([weights @ head[i - half:i + half + 1] for i in places])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            apart = head[places] - average if self.additive else head[places] / average
+        neutral = 0.0 if self.additive else 1.0
+        phases = [apart[(places % p == k) & np.isfinite(apart)] for k in range(p)]
+        season = np.array([own.mean() if len(own) else neutral for own in phases])
         season = season - season.mean() if self.additive else season / season.mean()
-        x = np.arange(1, len(trend) + 1)
-        slope = ((x - x.mean()) * (trend - trend.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-300)
-        return float(trend.mean() - slope * x.mean()), float(slope), [float(s) for s in season]
+        trend, level = np.polyfit(np.arange(1, len(average) + 1), average, 1) if len(average) > 1 else (0.0, average.mean())
+        return float(level), float(trend), [float(v) for v in season]
 
     def run(self, y: Sequence[float], weights=None, begin=None):
         """(squared error from index `period` on, level, trend, last season)."""

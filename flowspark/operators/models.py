@@ -174,30 +174,23 @@ def train_svm(df: DataFrame, features: str, label: str, reg: float = 0.01, max_i
     return df.sparkSession.createDataFrame(rows, SVM)
 
 
-def walk_pairs(scores: np.ndarray, models: list[tuple[str, str, float]]) -> str | None:
-    """Label of one row: the first one-against-all model that fires names the start (else the first
-    pair's label); then the pair models decide step by step."""
-    above = [scores[i] > m[2] for i, m in enumerate(models)]
-    start = next((m[0] for i, m in enumerate(models) if m[0] == m[1] and above[i]), None)
-    pairs = [(m[0], m[1], above[i]) for i, m in enumerate(models) if m[0] != m[1]]
-    if start is None:
-        if not pairs:
-            return None
-        start = pairs[0][0]
-    current, tail = start, pairs
-    while True:
-        at = next((p for p in tail if p[0] == current), None)
-        if at is None:
-            return current
-        keep = tail.index(at)
-        tail = tail[keep:]
-        if at[2]:
-            while tail and (tail[0][0] == current or tail[0][1] == at[1]):
-                tail = tail[1:]
-        else:
-            while tail and tail[0][0] == current:
-                tail = tail[1:]
-            current = at[1]
+def vote(hits: Column, models: Sequence[tuple[str, str]]) -> Column:
+    """Label of a row from `hits`, an array with one boolean per model row in table order.
+
+    The first one-against-all row that hits names the label to begin with, else the first pair's. A label's first pair
+    decides on it: a hit keeps the label, a miss hands over to the pair's other label, if that has a pair further on.
+    So every pair row is one CASE over the verdicts of later rows.
+    """
+    pairs = [(i, a, b) for i, (a, b) in enumerate(models) if a != b]
+    verdict: dict[str, Column] = {}  # of labels whose deciding pair stands further on
+    for i, a, b in reversed(pairs):
+        if i == next(j for j, first, _ in pairs if first == a):
+            verdict[a] = F.when(F.get(hits, F.lit(i)), F.lit(a)).otherwise(verdict.get(b, F.lit(b)))
+    result = verdict[pairs[0][1]] if pairs else F.lit(None).cast("string")
+    for i, (a, b) in reversed(list(enumerate(models))):
+        if a == b:
+            result = F.when(F.get(hits, F.lit(i)), verdict.get(a, F.lit(a))).otherwise(result)
+    return result
 
 
 def score_svm(df: DataFrame, model: DataFrame, features: str, out: str = "label") -> DataFrame:
@@ -209,17 +202,10 @@ def score_svm(df: DataFrame, model: DataFrame, features: str, out: str = "label"
         only = rows[0]
         hit = dot(array, only["weight"]) > F.lit(only["threshold"])
         return df.withColumn(out, F.when(hit, only["positive"]).otherwise(only["negative"]))
-    weights = np.array([r["weight"] for r in rows])
-    heads = [(r["positive"], r["negative"], r["threshold"]) for r in rows]
-
-    @F.pandas_udf("string")
-    def classify(vectors):
-        import pandas as pd
-
-        scores = np.vstack(vectors.to_numpy()) @ weights.T
-        return pd.Series([walk_pairs(s, heads) for s in scores])
-
-    return df.withColumn(out, classify(array))
+    hits = F.array(*[dot(array, r["weight"]) > F.lit(r["threshold"]) for r in rows])
+    heads = [(r["positive"], r["negative"]) for r in rows]
+    # bound to a name, so that the products are taken once a row
+    return df.withColumn(out, F.transform(F.array(hits), lambda h: vote(h, heads))[0])
 
 
 # -- moments and projections ------------------------------------------------------------------

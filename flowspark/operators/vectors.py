@@ -23,6 +23,11 @@ def hashing_tf(df: DataFrame, tokens: str, out: str = "tf", binary: bool = False
     return HashingTF(inputCol=tokens, outputCol=out, numFeatures=features, binary=binary).transform(df)
 
 
+def sparse_sum(vector: str) -> Column:
+    """Sum of a vector's stored values; the slots without one are never laid out."""
+    return F.aggregate(F.unwrap_udt(vector)["values"], F.lit(0.0), lambda total, x: total + x)
+
+
 def idf_table(df: DataFrame, row_id: str, tokens: str, min_doc_freq: int = 0) -> DataFrame:
     """`(token, df, idf)` with idf = ln((m + 1) / (df + 1)); 0 below the least document frequency."""
     total = df.count()

@@ -59,11 +59,19 @@ def test_dbscan_with_one_heavy_cell(spark):
     assert got.select("label").distinct().count() == 1 and got.count() >= 4500
 
 
-def test_svm_walk_over_pairs():
-    heads = [("a", "b", 0.0), ("a", "c", 0.0), ("b", "c", 0.0), ("a", "a", 0.0), ("b", "b", 0.0), ("c", "c", 0.0)]
-    assert models.walk_pairs(np.array([1, 1, 1, 1, -1, -1]), heads) == "a"
-    assert models.walk_pairs(np.array([-1, 1, 1, 1, -1, -1]), heads) == "b"
-    assert models.walk_pairs(np.array([-1, -1, -1, -1, -1, -1]), heads) == "c"
+def test_svm_vote_over_pairs(spark):
+    """All sign patterns of three classes against the walk stated in words: start label, its first pair, hand over."""
+    heads = [("a", "b"), ("a", "c"), ("b", "c"), ("a", "a"), ("b", "b"), ("c", "c")]
+    patterns = [[bool(k >> i & 1) for i in range(6)] for k in range(64)]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(patterns)], "k int, hits array<boolean>")
+    got = {r["k"]: r["label"] for r in df.select("k", models.vote(F.col("hits"), heads).alias("label")).collect()}
+    for k, (ab, _, bc, a, b, c) in enumerate(patterns):
+        label = "a" if a else "b" if b else "c" if c else "a"
+        if label == "a" and not ab:
+            label = "b"
+        if label == "b" and not bc:
+            label = "c"
+        assert got[k] == label
 
 
 def test_svm_separates_three_classes(spark):
