@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from flowspark.llm.shared import free_name, in_parts, ready
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 600_000
 DUCKDB_MEMORY = "400MB"
 LONG_PIECE = 128  # bytes; longer pieces leave the query for a queue, as it keeps every state of a piece
 STATE_ROWS = 8_000_000  # bound on the states of one recursive query
@@ -105,7 +105,7 @@ class Codec:
             "lhs": [s[0] for s in splits], "rhs": [s[1] for s in splits], "merged": [s[2] for s in splits]})
         self.load("CREATE TABLE vocabulary AS SELECT id::INT AS id, hex FROM given", {
             "id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
-        self.heads, self.units, self.runs = Memo(memo // 8), Memo(memo), Memo(memo)
+        self.heads, self.units, self.runs, self.pieces = Memo(memo // 8), Memo(memo), Memo(memo), Memo(memo * 2 // 3)
 
     def load(self, sql: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -177,9 +177,10 @@ class Codec:
         for memo, units, blank in ((self.heads, heads, ""), (self.units, rest, " ")):
             if new := memo.missing(units):
                 pieces = [[p.encode() for p in self.pattern.findall(blank + unit)] for unit in new]
-                distinct = list(dict.fromkeys(chain.from_iterable(pieces)))
-                table = dict(zip(distinct, self.encode_pieces(distinct)))
-                memo.update(zip(new, [b"".join([table[p] for p in own]) for own in pieces]))
+                known = self.pieces
+                fresh = known.missing(set(chain.from_iterable(pieces)))
+                known.update(zip(fresh, self.encode_pieces(fresh)))
+                memo.update(zip(new, [b"".join([known[p] for p in own]) for own in pieces]))
         unit = self.units.__getitem__
         return [self.heads[parts[0]] + b"".join(map(unit, parts[1:])) for parts in cut]
 
