@@ -47,27 +47,37 @@ def within(distance: Column, similarity: float) -> Column:
     return distance <= (1 - similarity + 0.05) * HASHES
 
 
-def similar_clusters(df: DataFrame, row_id: str, tokens: str, similarity: float = 0.7, bands: int = 16) -> DataFrame:
+def similar_clusters(df: DataFrame, row_id: str, tokens: str, similarity: float = 0.7, bands: int = 8,
+                     crowd: int = 64) -> DataFrame:
     """`(row_id, cluster)`: rows joined through shared signature bands.
 
-    Equal signatures collapse first. In each band bucket a signature is compared with one
-    representative, the bucket's lowest signature, and hung to it when the distance allows; edges
-    grow linearly with the rows, never with the pairs of a bucket.
+    Equal signatures collapse first. All signatures that share a band are compared with each other, whatever the size of
+    the table: a bucket of more than `crowd` signatures is split by the bits of the band that follows, again and again
+    until its parts are small (all 128 bits tell any two apart), so a signature meets at most `crowd` others per band.
     """
     signed = checkpoint(minhash_signature(df, row_id, tokens))
     width = 64 * 2 // bands
     one = signed.groupBy("sig_hi", "sig_lo").agg(F.min(row_id).alias("rep"))
     mask = (1 << width) - 1
-    values = []
-    for b in range(bands):
-        word = F.col("sig_hi") if b * width < 64 else F.col("sig_lo")
-        values.append(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned(word, (b * width) % 64).bitwiseAND(mask).alias("bits")))
-    filed = one.select("*", F.explode(F.array(*values)).alias("k")).select("*", "k.band", "k.bits")
-    heads = first_per_key(filed.select("band", "bits", "rep", "sig_hi", "sig_lo"), ["band", "bits"], ["rep"]).select(
-        "band", "bits", F.col("rep").alias("head"), F.col("sig_hi").alias("h_hi"), F.col("sig_lo").alias("h_lo"))
-    near = filed.join(heads, ["band", "bits"]).where(within(signature_distance("sig_hi", "sig_lo", "h_hi", "h_lo"), similarity))
-    alone = one.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    groups = components(near.select(F.col("head").alias("a"), F.col("rep").alias("b")).union(alone))
+    bits = F.array(*[F.shiftrightunsigned(F.col("sig_hi") if b * width < 64 else F.col("sig_lo"), (b * width) % 64).bitwiseAND(F.lit(mask))
+                     for b in range(bands)])
+    filed = one.select("*", bits.alias("_bits"), F.explode(F.array(*map(F.lit, range(bands)))).alias("band"))
+    found = one.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    for depth in range(1, bands + 1):
+        key = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.get("_bits", (F.col("band") + i) % bands)).cast(
+            "array<string>"), ",")
+        keyed = filed.withColumn("_key", key)
+        sizes = keyed.groupBy("band", "_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+        keyed = checkpoint(keyed.join(sizes, ["band", "_key"]))
+        small = keyed.where(F.col("_size") <= crowd).select("band", "_key", "rep", "sig_hi", "sig_lo")
+        other = small.select("band", "_key", *[F.col(c).alias(f"o_{c}") for c in ("rep", "sig_hi", "sig_lo")])
+        near = small.join(other, ["band", "_key"]).where(
+            (F.col("rep") < F.col("o_rep")) & within(signature_distance("sig_hi", "sig_lo", "o_sig_hi", "o_sig_lo"), similarity))
+        found = found.union(near.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
+        filed = keyed.where(F.col("_size") > crowd).drop("_key", "_size")
+        if filed.isEmpty():
+            break
+    groups = components(found)
     reps = one.join(groups, F.col("rep") == F.col("node")).select("sig_hi", "sig_lo", "component")
     return signed.join(reps, ["sig_hi", "sig_lo"]).select(row_id, F.col("component").alias("cluster"))
 

@@ -116,26 +116,26 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
                 heavy_rows: int = HEAVY_ROWS, rows: int | None = None) -> DataFrame:
     """Equi join where keys with many left rows are spread over several tasks.
 
-    Heavy keys are found by an exact partial count. Their left rows get a salt, their right
-    rows one copy per salt; all other keys join as usual. `how`: inner, left, left_semi, left_anti.
-    `rows`, the known size of `left`, saves the count when no key can be heavy.
+    Without `rows` nothing is counted beforehand: adaptive execution splits the large partitions of such a join from the
+    sizes its shuffle reports, so the left side is computed once. With `rows`, the known size of a written `left`, heavy
+    keys are found by an exact partial count; their left rows get a salt, their right rows one copy per salt. The salt is
+    a hash of the row, so a retried task deals its rows out as before. Rows with a missing key match nothing and are dealt
+    out by their hash. `how`: inner, left, left_semi, left_anti.
     """
-    if rows is not None and rows <= heavy_rows:
+    if rows is None or rows <= heavy_rows:
         return left.join(right, list(keys), how)
-    counts = left.groupBy(*keys).count()
-    most = counts.agg(F.max("count").alias("m")).first()["m"] or 0
-    if most <= heavy_rows:
-        return left.join(right, list(keys), how)
-    heavy = checkpoint(counts.where(F.col("count") > heavy_rows).select(
+    # at most rows / heavy_rows keys are heavy, so this table is small whatever `left` is
+    heavy = checkpoint(left.groupBy(*keys).count().where(F.col("count") > heavy_rows).select(
         *keys, F.ceil(F.col("count") / heavy_rows).cast("int").alias("_salts")))
-    salted_left = (
-        left.join(heavy, list(keys), "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.monotonically_increasing_id(), F.col("_salts").cast("long")).cast("int")))
-        .drop("_salts")
-    )
+    dealt = F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema.fields if "map<" not in f.dataType.simpleString()])
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    spread_over = F.when(missing, F.lit(max(1, rows // heavy_rows))).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
+    salted_left = left.join(F.broadcast(heavy), list(keys), "left").withColumn(
+        "_salt", F.pmod(dealt, spread_over.cast("long")).cast("int")).drop("_salts")
     salted_right = (
-        right.join(heavy, list(keys), "left")
+        right.join(F.broadcast(heavy), list(keys), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )

@@ -266,6 +266,20 @@ def test_signatures_and_clusters(spark):
     assert got[1] == got[2] == got[3] == 1 and got[4] == 4
 
 
+@pytest.mark.parametrize("pairs, crowd", [(300, 64), (4000, 64), (300, 2)])
+def test_planted_pairs_are_joined_at_any_size(spark, pairs, crowd):
+    """Nearly equal rows among others: as many pairs, as many joined."""
+    rng = np.random.default_rng(pairs)
+    rows = []
+    for k in range(pairs):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 100)]
+        rows += [(2 * k, words), (2 * k + 1, words[:99] + ["changed"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    got = {r["id"]: r["cluster"] for r in textmining.similar_clusters(df, "id", "t", 0.9, crowd=crowd).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(pairs)) >= 0.999 * pairs
+    assert len(set(got.values())) >= 0.99 * pairs
+
+
 def test_date_slots(spark):
     from pyspark.sql import functions as F
 

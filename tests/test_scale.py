@@ -46,10 +46,20 @@ def test_edges_per_key(spark):
 
 
 def test_salted_join_keeps_all_rows(spark):
-    left = skewed(spark).where("k IS NOT NULL")
-    right = left.select("k").distinct().withColumn("name", F.upper("k")).where("k <> '3'")
+    """Most rows on one key, a third without a key: same rows with and without salts, and repeated rows stay."""
+    left = skewed(spark).unionByName(skewed(spark).limit(50))
+    right = left.select("k").distinct().withColumn("name", F.upper("k")).where("k <> '3' OR k IS NULL")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        assert same(scale.salted_join(left, right, ["k"], how, heavy_rows=100), left.join(right, ["k"], how))
+        plain = left.join(right, ["k"], how)
+        assert same(scale.salted_join(left, right, ["k"], how, heavy_rows=100, rows=left.count()), plain)
+        assert same(scale.salted_join(left, right, ["k"], how, heavy_rows=100), plain)
+
+
+def test_unmeasured_join_reads_its_input_once(spark, small):
+    left = spark.read.parquet(f"{small}/events.parquet").select("user_id", "value")
+    right = left.groupBy("user_id").count()
+    plan = scale.salted_join(left, right, ["user_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
 
 
 def test_lookup_join_broadcasts_only_small_tables(spark):
