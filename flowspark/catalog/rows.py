@@ -80,6 +80,16 @@ def _(t: Tables):
     return out.where("_error IS NULL").select("page_id", "scheme", "host", "path")
 
 
+@query("p05_p14_grok_event_time", """
+SELECT event_id, epoch_ms(date_trunc('second', ts)) AS ms, event_type AS verb, user_id AS bytes FROM events""")
+def _(t: Tables):
+    stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
+    line = F.concat(F.lit("10.0.0.1 - - ["), stamp, F.lit(' +0000] "'), C("event_type"), F.lit(' /x HTTP/1.1" 200 '), C("user_id").cast("string"))
+    out = parse.parse(t.events.select("event_id", line.alias("line")), "line", parse.regex("%{COMMONAPACHELOG}", time_parts=True))
+    ms = F.unix_millis(dates.captured_time([c for c in out.columns if c.startswith("_")], F.lit("2100-01-01 00:00:00")))
+    return out.select("event_id", ms.alias("ms"), "verb", C("bytes").cast("long").alias("bytes"))
+
+
 @query("p06_delimited", """
 SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS part, l_returnflag AS flag,
        l_linestatus || ',' || strftime(l_shipdate, '%Y-%m-%d') AS rest

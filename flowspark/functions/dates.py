@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,3 +146,16 @@ def guess_event_time(parts: dict[str, str | Column], now: str | Column) -> Colum
     stamp = F.try_make_timestamp(year, month, part("day", F.dayofmonth(moment)), part("hour", F.lit(0)),
                                  part("minute", F.lit(0)), part("second", F.lit(0)).cast("decimal(16,6)"))
     return F.when(stamp > moment, stamp - F.expr("INTERVAL 1 YEAR")).otherwise(stamp)
+
+
+def captured_time(columns: Sequence[str], now: str | Column) -> Column:
+    """Event time from the columns a pattern with time parts captured (`_year`, `_month` or `_month_num`, `_hour` ...)."""
+    have = {c: F.col(c) for c in columns}
+    months = [have[c] for c in ("_month", "_month_num", "_month_num2") if c in have]
+    parts = {"month": F.coalesce(*months)} if months else {}
+    for part, column in (("year", "_year"), ("day", "_month_day"), ("hour", "_hour"), ("minute", "_minute")):
+        if column in have:
+            parts[part] = have[column]
+    if "_second" in have:
+        parts["second"] = F.regexp_extract(have["_second"], "^[0-9]+", 0)
+    return guess_event_time(parts, now)

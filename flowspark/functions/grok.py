@@ -78,7 +78,7 @@ DATESTAMP_ISO8601 %{DATE_ISO8601}[-T ]?%{TIME}%{ISO8601_TIMEZONE}?[-T ]?%{TZ}?
 DATESTAMP_RFC822 %{DAY} %{MONTH} %{MONTH_DAY} %{YEAR} %{TIME} %{TZ}
 DATESTAMP_RFC2822 %{DAY}, %{MONTH_DAY} %{MONTH} %{YEAR} %{TIME} %{ISO8601_TIMEZONE}
 DATESTAMP_OTHER %{DAY} %{MONTH} %{MONTH_DAY} %{TIME} %{TZ} %{YEAR}
-DATESTAMP_EVENTLOG %{YEAR}%{MONTH_NUM2}%{MONTH_DAY}%{_HOUR}%{MINUTE}%{SECOND}
+DATESTAMP_EVENTLOG %{YEAR}%{MONTH_NUM2}%{MONTH_DAY}%{HOUR}%{MINUTE}%{SECOND}
 DATESTAMP (%{DATE}[-T ]?%{TIME}%{ISO8601_TIMEZONE}?)|(%{DATESTAMP_ISO8601})|(%{TIMESTAMP})|(%{TIMESTAMP_ISO8601})|(%{SYSLOGTIMESTAMP})|(%{DATESTAMP_OTHER})
 SYSLOGTIMESTAMP %{MONTH} +%{MONTH_DAY} %{TIME}( %{YEAR})?
 PROG (?:[\w._/%-]+)
@@ -96,20 +96,27 @@ LOGLEVEL ([A|a]lert|ALERT|[T|t]race|TRACE|[D|d]ebug|DEBUG|[N|n]otice|NOTICE|[I|i
 
 LIBRARY = dict(line.split(" ", 1) for line in LIBRARY_TEXT.strip().splitlines() if line.strip())
 
+#: Patterns of one part of a date or time. `_HOUR` and the like capture theirs as `_hour`; with `time_parts` all do.
+TIME_PARTS = ("YEAR", "MONTH", "MONTH_NUM", "MONTH_NUM2", "MONTH_DAY", "DAY", "DAY_ZH_CN", "HOUR", "MINUTE", "SECOND", "MCRO_SECOND")
+CAPTURED = {f"_{name}": f"%{{{name}:_{name.lower()}}}" for name in TIME_PARTS}
+
 _REFERENCE = re.compile(r"%\{(\w+)(?::([^}:]+))?(?::[^}]*)?\}")
 
 
 @dataclass(frozen=True)
 class Grok:
-    """A compiled template: the regex and, per field name, its group number."""
+    """A compiled template: the regex, per field name its first group number, and all of them where alternatives share it."""
 
     regex: str
     groups: dict[str, int]
+    every: dict[str, tuple[int, ...]]
+
 
+def expand(template: str, library: dict[str, str] | None = None, time_parts: bool = False) -> Grok:
+    """Replace pattern references until none is left and number the capturing groups.
 
-def expand(template: str, library: dict[str, str] | None = None) -> Grok:
-    """Replace pattern references until none is left and number the capturing groups."""
-    known = {**LIBRARY, **(library or {})}
+    `time_parts`: parts of dates and times inside larger patterns (`TIME`, `DATESTAMP`) are captured too."""
+    known = {**LIBRARY, **CAPTURED, **(library or {})}
     names: list[str] = []
 
     def mark(match, depth=0):
@@ -119,6 +126,8 @@ def expand(template: str, library: dict[str, str] | None = None) -> Grok:
         if depth > 30:
             raise ValueError(f"pattern {name} refers to itself")
         body = _REFERENCE.sub(lambda m: mark(m, depth + 1), known[name])
+        if field is None and time_parts and name in TIME_PARTS:
+            field = f"_{name.lower()}"
         if field is None:
             return f"(?:{body})"
         names.append(field)
@@ -126,13 +135,13 @@ def expand(template: str, library: dict[str, str] | None = None) -> Grok:
 
     regex = _REFERENCE.sub(mark, template)
     numbers = group_numbers(regex)
-    groups: dict[str, int] = {}
+    every: dict[str, tuple[int, ...]] = {}
     for at, field in enumerate(names):
-        groups.setdefault(field, numbers[f"f{at}f"])
+        every[field] = (*every.get(field, ()), numbers[f"f{at}f"])
     for name, number in numbers.items():
         if not re.fullmatch(r"f\d+f", name):
-            groups.setdefault(name, number)
-    return Grok(regex, groups)
+            every[name] = (*every.get(name, ()), number)
+    return Grok(regex, {name: found[0] for name, found in every.items()}, every)
 
 
 def group_numbers(pattern: str) -> dict[str, int]:

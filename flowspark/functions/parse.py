@@ -121,14 +121,18 @@ def captures(c: Column, regex: str, numbers: Sequence[int]) -> Column:
     return F.when(c.rlike(regex), F.split(F.regexp_replace(c, F.lit(whole), F.lit(joined)), _MARK))
 
 
-def regex(template: str, library: dict[str, str] | None = None) -> Parser:
-    """A regular expression with `%{PATTERN:field}` parts; dotted names become nested structs."""
-    grok = expand(template, library)
-    names = list(grok.groups)
+def regex(template: str, library: dict[str, str] | None = None, time_parts: bool = False) -> Parser:
+    """A regular expression with `%{PATTERN:field}` parts; dotted names become nested structs. `time_parts` adds what
+    date and time patterns capture, for `dates.captured_time`."""
+    grok = expand(template, library, time_parts)
+    numbers = [(n, g) for n, found in grok.every.items() for g in (found if time_parts else found[:1])]
 
     def step(c: Column) -> Parsed:
-        hits, prepare = _prepared(captures(c, grok.regex, [grok.groups[n] for n in names]))
-        flat = {n: F.nullif(hits.getItem(i), F.lit("")) for i, n in enumerate(names)}
+        hits, prepare = _prepared(captures(c, grok.regex, [g for _, g in numbers]))
+        found: dict[str, list[Column]] = {}
+        for i, (n, _) in enumerate(numbers):
+            found.setdefault(n, []).append(F.nullif(hits.getItem(i), F.lit("")))
+        flat = {n: own[0] if len(own) == 1 else F.coalesce(*own) for n, own in found.items()}
         return Parsed(nest(flat), hits.isNotNull(), prepare)
 
     return step

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HEAVY_ROWS = 1_000_000
+SMALL_SCAN = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,12 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than cores, laid out over all cores before heavy row work.
+    """A scan of a few row groups, laid out over the cores before heavy row work.
 
-    For scans of a few large row groups only; a scan that is wide enough stays as it is.
+    Only what is smaller than `SMALL_SCAN` splits is shuffled: beyond that a scan is wide enough as it is, however many
+    cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(min(cores, SMALL_SCAN)) if df.rdd.getNumPartitions() < min(cores, SMALL_SCAN) else df
 
 
 def _text_size(df: DataFrame) -> Column:

@@ -109,7 +109,10 @@ def upsert(df: DataFrame, url: str, table: str, key: list[str], staging: str, co
     ddl = ", ".join(f"{c} {columns[c]}" for c in kept.columns)
     kept.write.option("createTableColumnTypes", ddl).jdbc(url, staging, mode="overwrite", properties=options or {})
     jvm = df.sparkSession.sparkContext._jvm
-    connection = jvm.java.sql.DriverManager.getConnection(url)
+    properties = jvm.java.util.Properties()
+    for name, value in (options or {}).items():
+        properties.setProperty(name, str(value))
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
     try:
         statement = connection.createStatement()
         statement.executeUpdate(merge_statement(table, staging, kept.columns, key))
