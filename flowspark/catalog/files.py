@@ -94,6 +94,11 @@ def _(t: Tables):
     return files.preview(t.embeddings.orderBy("vec_id"), 10)
 
 
+@query("s12_preview_rows", "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey LIMIT 10")
+def _(t: Tables):
+    return files.preview(t.nation.select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey"), 10)
+
+
 @query("s13_source_columns", "SELECT 'events.parquet' AS file, count(*) AS n, count(*) AS received FROM events")
 def _(t: Tables):
     out = files.with_source(t.events)

@@ -110,7 +110,18 @@ def _(t: Tables):
                                       F.round(F.avg(C("embedding")[63].cast("double")), 5).alias("m63"))
 
 
-@query("m07_kmeans_rounds")
+def _kmeans_sql(rounds: int) -> str:
+    """The rounds one after the other: nearest centre, then the mean of every place."""
+    steps = ["c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding::DOUBLE[] AS e FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 4))"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT v.vec_id, v.embedding::DOUBLE[] AS v, arg_min(c.k, list_distance(v.embedding::DOUBLE[], c.e)) AS k "
+                     f"FROM embeddings v, c{r} c GROUP BY ALL)")
+        steps.append(f"c{r + 1} AS (SELECT k, list(m ORDER BY i) AS e FROM (SELECT k, i, avg(x) AS m FROM "
+                     f"(SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY k, i) GROUP BY k)")
+    return f"WITH {', '.join(steps)} SELECT CAST(k AS INTEGER) AS cluster, count(*) AS n FROM a{rounds} GROUP BY k"
+
+
+@query("m07_kmeans_rounds", _kmeans_sql(5))
 def _(t: Tables):
     centres = models.kmeans(t.embeddings, "embedding", _centroids(t), 5)
     return models.assign(t.embeddings, "embedding", centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -570,6 +570,14 @@ def _(t: Tables):
     return t.events.select(text.name_from("part_", "", "user_id", "mod", mod=10).alias("name")).groupBy("name").count()
 
 
+@query("f17_hash_names_hold", "SELECT user_id, 1 AS names, count(*) AS n, true AS in_range FROM events GROUP BY user_id")
+def _(t: Tables):
+    """One name per value, out of the ten the template allows."""
+    named = t.events.select("user_id", text.name_from("part_", "", "user_id", "mod", mod=10).alias("name"))
+    return named.groupBy("user_id").agg(F.count_distinct("name").alias("names"), F.count(F.lit(1)).alias("n"),
+                                        F.min(C("name").rlike("^part_[0-9]$")).alias("in_range"))
+
+
 @query("f18_column_case", 'SELECT event_id AS "EventId", event_type AS "eventType" FROM events')
 def _(t: Tables):
     from flowspark.plans.sql import run_sql

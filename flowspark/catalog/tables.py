@@ -365,6 +365,20 @@ def _(t: Tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("t02_split_facts", """
+SELECT count(*) AS n_all, 0 AS n_astray, 0 AS n_outside, true AS near_share FROM lineitem""")
+def _(t: Tables):
+    """The two parts of a split together are the table, no row more or less; a sample holds rows of the table only."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber")
+    train, test = rows.randomSplit([0.6, 0.4], seed=2000)
+    marked = train.withColumn("part", F.lit(1)).unionByName(test.withColumn("part", F.lit(2))).unionByName(
+        rows.sample(False, 0.5, 2000).withColumn("part", F.lit(0))).unionByName(rows.withColumn("part", F.lit(4)))
+    each = marked.groupBy("l_orderkey", "l_linenumber").agg(*[F.sum((C("part") == k).cast("long")).alias(f"p{k}") for k in (0, 1, 2, 4)])
+    share = F.abs(F.sum("p1") / F.sum("p4") - 0.6) < 0.05
+    return each.agg(F.sum(C("p1") + C("p2")).alias("n_all"), F.sum(F.abs(C("p1") + C("p2") - C("p4"))).alias("n_astray"),
+                    F.sum(((C("p0") > 0) & (C("p4") == 0)).cast("long")).alias("n_outside"), share.alias("near_share"))
+
+
 _U01 = """
 SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 48
 UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 3"""

@@ -45,6 +45,16 @@ def _(t: Tables):
     return M.minhash_signature(_docs(t), "doc_id", "tokens")
 
 
+@query("x03_signature_of_a_set", _DOCS + "SELECT doc_id, true AS same FROM d WHERE len(tokens) > 0")
+def _(t: Tables):
+    """A signature belongs to the set of tokens: order and repetition leave it as it is."""
+    docs = _docs(t)
+    turned = docs.select("doc_id", F.concat(F.reverse("tokens"), F.slice("tokens", 1, 3)).alias("tokens"))
+    other = M.minhash_signature(turned, "doc_id", "tokens").select("doc_id", C("sig_hi").alias("hi"), C("sig_lo").alias("lo"))
+    both = M.minhash_signature(docs, "doc_id", "tokens").join(other, "doc_id")
+    return both.select("doc_id", ((C("sig_hi") == C("hi")) & (C("sig_lo") == C("lo"))).alias("same"))
+
+
 @query("x04_signature_distance", """
 SELECT event_id, CAST(bit_count(xor(event_id * 40503, user_id * 97)) + bit_count(xor(event_id, user_id)) AS INTEGER) AS d,
        bit_count(xor(event_id * 40503, user_id * 97)) + bit_count(xor(event_id, user_id)) <= (1 - 0.95 + 0.05) * 128 AS near FROM events""")
