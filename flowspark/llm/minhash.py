@@ -7,12 +7,14 @@
 2. Documents with equal sets are one class; only a class's smallest id goes on.
 3. In each bucket every member is paired with one centre only: a star, so pairs grow with members, not with their
    square. The centre is the member that meets most others over all buckets (of equals the smallest id), so it stands
-   in the middle of its group. Every star pair's distance (1 - similarity) is taken on the full sets.
-4. Members that didn't come into the component of their bucket's centre are stragglers. Each becomes the centre of a
-   star of its own (`CENTRES` a bucket and round) to the members of other components. As the distance is a metric, a
-   member can only be linked with it when their distances to the bucket's centre differ by at most 0.25, so a
-   straggler meets few members of a large group of close copies. Rounds go on until no straggler is left: every pair
-   that shares a bucket has been settled, no bucket is cut short.
+   in the middle of its group.
+4. Members that didn't come into the component of their bucket's centre are stragglers. They become the centres of
+   stars of their own, `CENTRES` a bucket in the first round and `GROWTH` times as many in each further one, to the
+   members of other components, until no straggler is left: every pair that shares a bucket has been settled, no
+   bucket is cut short.
+   A pair is confirmed on full sets when its sizes allow the similarity and its sketches, 4 bits of each bin, agree in
+   `AGREE` of 288 bins; at a similarity of 0.75 they agree in fewer with a probability below 1e-6. The sketches are
+   compared where the pair arises, so pairs that can't be linked never leave the join.
 5. Components by smallest neighbours over the confirmed edges and the class memberships.
 
 At a similarity of 0.75 a pair shares no bucket with a probability of (1 - 0.75^6)^48 < 1e-4, at 0.8 < 1e-6.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.shared import ready, written
@@ -40,7 +42,9 @@ SHINGLE = 5
 SIMILARITY = 75  # per cent
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-CENTRES = 32
+CENTRES, GROWTH = 64, 16
+NIBBLES = 16  # 4-bit values in a long
+AGREE = 185  # of BINS
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -104,8 +108,13 @@ class Hasher:
             least = least[self.order[:, bins[first].astype(np.int64)].argmin(axis=1)]
         return least
 
-    def buckets(self, hashes: np.ndarray) -> np.ndarray:
-        rows = self.values(hashes).reshape(self.bands, self.rows)
+    def sketch(self, values: np.ndarray) -> np.ndarray:
+        """Four bits of each bin, 16 to a long."""
+        nibbles = (values & np.uint64(15)).reshape(-1, NIBBLES) << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))
+        return np.bitwise_or.reduce(nibbles, axis=1)
+
+    def buckets(self, values: np.ndarray) -> np.ndarray:
+        rows = values.reshape(self.bands, self.rows)
         total = self.salt.copy()
         for j in range(self.rows):
             total = mix(total + rows[:, j] * _TIMES[j % 5] + np.uint64(j))
@@ -123,24 +132,26 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Per row: `doc_id`, `n_shingles`, two 64-bit sums that tell sets apart, and the buckets."""
+    """Per row: `doc_id`, `n_shingles`, two 64-bit sums that tell sets apart, the buckets, the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            n, one, two, buckets = [], [], [], []
+            n, one, two, buckets, sketches = [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 hashes = shingle_set(raw)
                 n.append(len(hashes))
                 one.append(int(hashes.sum(dtype=np.uint64)))
                 two.append(int(mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)))
-                buckets.append(hasher.buckets(hashes) if len(hashes) else hashes)
+                values = hasher.values(hashes) if len(hashes) else hashes
+                buckets.append(hasher.buckets(values) if len(hashes) else hashes)
+                sketches.append(hasher.sketch(values) if len(hashes) else hashes)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()),
                 "set_a": pa.array(np.array(one, np.uint64).view(np.int64)), "set_b": pa.array(np.array(two, np.uint64).view(np.int64)),
-                "buckets": _longs(buckets)})
+                "buckets": _longs(buckets), "sketch": _longs(sketches)})
 
-    return _binary(df, text).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>")
+    return _binary(df, text).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, buckets array<long>, sketch array<long>")
 
 
 def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -154,34 +165,47 @@ def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
     return _binary(df, text).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs `(a, b)` with their distance and whether they are linked, from the full sets. Joins on a hot centre are
-    split at run time."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
-    sized = pairs.join(right, "b").join(left, "a").withColumn("_both", F.size(F.array_intersect("_sa", "_sb")))
-    union = F.size("_sa") + F.size("_sb") - F.col("_both")
-    return sized.select("a", "b", (1 - F.col("_both") / union).alias("far"), (100 * F.col("_both") >= SIMILARITY * union).alias("linked"))
+def agreeing(a: Column, b: Column) -> Column:
+    """How many bins of two sketches agree: 4-bit fields of the exclusive or that are zero."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for k in range(BINS // NIBBLES):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.lit(NIBBLES) - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones))
+    return total
+
+
+def _likely(a: str, b: str) -> Column:
+    """Whether two members, structs or prefixes of columns `n` and `sketch`, may be linked."""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    return (100 * F.least(n_a, n_b) >= SIMILARITY * F.greatest(n_a, n_b)) & (agreeing(F.col(f"{a}sketch"), F.col(f"{b}sketch")) >= AGREE)
 
 
 def _starred(classes: DataFrame) -> DataFrame:
-    """`(bucket, node, n, centre)`: members of the buckets that hold two classes or more."""
-    entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+    """`(bucket, node, centre)`: members of the buckets that hold two classes or more."""
+    entries = classes.select("node", F.explode("buckets").alias("bucket"))
     crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(entries.join(crowded, "bucket"), "members")
     met = members.groupBy("node").agg(F.sum("size").alias("met"))
     centres = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
-    return written(members.join(centres, "bucket").select("bucket", "node", "n", "centre"), "stars")
+    return written(members.join(centres, "bucket").select("bucket", "node", "centre"), "stars")
 
 
-def _sets_of(members: DataFrame, documents: DataFrame, text: str) -> DataFrame:
-    """`(node, shingles)` of all members; documents that share no bucket are not read into sets."""
-    nodes = written(members.select("node", "n").distinct(), "nodes")
-    near, _ = broadcast_if_small(nodes.select(F.col("node").alias("doc_id")).distinct())
-    sets = shingle_sets(documents.join(near, "doc_id", "left_semi"), text).withColumnRenamed("doc_id", "node")
-    # an id with several texts stands for the class it names; repeated rows have one set
-    sized = sets.withColumn("n", F.size("shingles").cast("long")).join(nodes, ["node", "n"])
-    return written(sized.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, text: str) -> DataFrame:
+    """The distinct pairs `(a, b)` whose full sets are similar enough; only the documents of a pair are read into sets.
+    Joins on a hot centre are split at run time."""
+    pairs = written(pairs.distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sized = written(classes.join(nodes, "node").select(F.col("node").alias("doc_id"), "n"), "nodes")
+    near, _ = broadcast_if_small(sized)
+    # an id with several texts stands for the class it names; repeated rows have one set and give one pair
+    own = shingle_sets(documents.join(near.select("doc_id"), "doc_id", "left_semi"), text)
+    sets = written(own.withColumn("n", F.size("shingles").cast("long")).join(near, ["doc_id", "n"]).select("doc_id", "shingles"), "sets")
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("_both"), (F.size("_a") + F.size("_b")).alias("_sum"))
+    return both.where(100 * F.col("_both") >= SIMILARITY * (F.col("_sum") - F.col("_both"))).select("a", "b").distinct()
 
 
 def linked(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -190,30 +214,39 @@ def linked(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     signed = written(signatures(documents, text), "signatures")
     classes = written(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b")
-        .agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets")), "classes")
-    copies = signed.where("doc_id is not null").join(classes.drop("buckets"), ["n_shingles", "set_a", "set_b"])
+        .agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
+        .withColumnRenamed("n_shingles", "n"), "classes")
+    named = classes.select(F.col("n").alias("n_shingles"), "set_a", "set_b", "node")
+    copies = signed.where("doc_id is not null").join(named, ["n_shingles", "set_a", "set_b"])
     copies = copies.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     members = _starred(classes)
-    sets = _sets_of(members, documents, text)
-    spokes = written(measured(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets), "spokes")
-    edges = written(spokes.where("linked").select("a", "b").unionByName(copies), "edges")
+    # an id whose texts differ names several classes: each is a member under the id
+    marks = classes.select("node", "n", "sketch")
+    spokes = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    ends = spokes.join(marks.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b").join(
+        marks.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")), "a")
+    likely = ends.where(_likely("a_", "b_")).select("a", "b")
+    edges = written(_confirmed(likely, classes, documents, text).unionByName(copies), "edges")
     found = written(components(edges), "components")
-    side = spokes.select(F.col("a").alias("centre"), F.col("b").alias("node"), "far")
-    placed = members.join(side, ["centre", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    left = _stragglers(placed, found)
+    left = _stragglers(members, found)
     if left.isEmpty():
         return signed, found
-    open_members = written(placed.join(left.select("bucket").distinct(), "bucket", "left_semi"), "open")
+    near = members.join(left.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node")
+    open_members = written(near.join(marks, "node"), "open")
+    most = CENTRES
     while not left.isEmpty():
-        salts = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRES)) == j, F.struct("node", "n", "far"))) for j in range(CENTRES)]
-        chosen = written(left.groupBy("bucket").agg(F.array_compact(F.array(*salts)).alias("chosen")), "chosen")
-        new = written(measured(_met(open_members, chosen, found), sets).where("linked").select("a", "b"), "edges")
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            found = written(components(edges), "components")
-        done = chosen.select("bucket", F.explode("chosen.node").alias("node"))
-        left = _stragglers(left.join(done, ["bucket", "node"], "left_anti"), found)
+        # an even share of each bucket's stragglers, by a hash that every round draws anew
+        counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("_many"))
+        share = F.pmod(F.xxhash64("node", F.lit(most)), F.col("_many")) < most
+        chosen = written(left.join(counts, "bucket").where(share).select("bucket", "node"), "chosen")
+        pairs = written(_met(open_members, chosen, found), "met")
+        if not pairs.isEmpty():
+            new = written(_confirmed(pairs, classes, documents, text), "edges")
+            if not new.isEmpty():
+                edges = edges.unionByName(new)
+                found = written(components(edges), "components")
+        left, most = _stragglers(left.join(chosen, ["bucket", "node"], "left_anti"), found), most * GROWTH
     return signed, found
 
 
@@ -229,14 +262,13 @@ def _stragglers(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _met(members: DataFrame, chosen: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct pairs of a chosen straggler and a member of its bucket that can be linked and aren't connected yet."""
-    near = (100 - SIMILARITY) / 100 + 1e-9
-    spread = chosen.select("bucket", F.explode("chosen").alias("c"), "chosen")
-    sizes = f"100 * least(c.n, n) >= {SIMILARITY} * greatest(c.n, n)"
-    met = members.join(spread, "bucket").where(
-        f"c.node <> node and abs(c.far - far) <= {near} and {sizes} and (c.node < node or not exists(chosen, x -> x.node = node))")
-    pairs = met.select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
-    return _component(_component(pairs, found, "a", "_x"), found, "b", "_y").where("_x <> _y").select("a", "b")
+    """Distinct pairs of a chosen straggler and a member of its bucket that may be linked and aren't connected yet."""
+    placed = _component(members, found, "node", "component")
+    centres = placed.join(chosen, ["bucket", "node"]).select(
+        "bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "sketch", "component")])
+    likely = (F.col("component") != F.col("c_component")) & (F.col("node") != F.col("c_node")) & _likely("", "c_")
+    met = placed.join(centres, (placed["bucket"] == centres["bucket"]) & likely)
+    return met.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
