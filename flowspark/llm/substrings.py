@@ -1,14 +1,13 @@
 """Substring dedup by seed and extend: every passage of `WINDOW` words that occurs twice or more, anywhere, goes.
 
 1. Seeds: word 15-grams are hashed and winnowed, the smallest of each 21 consecutive ones (the last of equals) is an
-   anchor. 15 + 21 - 1 = 35, so every window of 35 words holds the anchor that it selects, and equal windows select
-   the same one: no repeat is missed. An anchor also carries one hash of its whole reach, the 20 words to either
-   side of it (fewer at a text's ends).
-2. Join: anchors meet on their hash, by partial sums, never pairwise. Two occurrences with equal reach extend all the
-   way both ways; a hash with one reach only is settled by that.
-3. Extend: of a hash with several reaches, one occurrence of each reach is extended to the left by 0 to 20 words, and
-   to the right by as much as makes up 35: the keys of these extensions meet on their hash. A key of two reaches, or
-   of a reach that occurs twice, is a repeated window for all occurrences of the reach.
+   anchor. 15 + 21 - 1 = 35, so every window of 35 words selects one anchor inside it, and equal windows select the
+   same one: no repeat is missed. An anchor carries one hash of its reach, the words of all windows that select it.
+2. Join: anchors meet on their hash, by partial sums, never pairwise. Anchors whose hash occurs once go. Two
+   occurrences with equal reach extend all the way both ways; a hash with one reach only is settled by that.
+3. Extend: of a hash with several reaches, one occurrence of each reach is extended to the left by each length that
+   its windows allow, and to the right by as much as makes up 35: the keys of these extensions meet on their hash. A
+   key of two reaches, or of a reach that occurs twice, is a repeated window for all occurrences of the reach.
 4. The union of a document's repeated windows are its maximal repeats of 35 words or more; their words go.
 
 A window is judged on the input, all its occurrences count, those in its own document too. Work per group is one row
@@ -33,14 +32,13 @@ from pyspark.sql import types as T
 
 from flowspark.llm.minhash import mix, word_hashes
 from flowspark.llm.shared import free_name, ready, text_key, whole, written
+from flowspark.plans.scale import broadcast_if_small
 
 WINDOW, GRAM = 35, 15
-REACH = WINDOW - GRAM  # words an extension may add on either side
-SPAN = REACH + 1  # 15-grams an anchor is the smallest of
+SPAN = WINDOW - GRAM + 1  # 15-grams an anchor is the smallest of
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: A window's length in words decides which of an occurrence's windows exist: bit j is the one that starts j words before the anchor.
-ALL = (1 << SPAN) - 1
+# an occurrence's windows are bits: bit j is the window that starts j words before the anchor
 
 
 def _prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,68 +65,91 @@ class Slices:
         return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def winnowed(grams: np.ndarray) -> np.ndarray:
-    """Positions of the last smallest hash of each `SPAN` consecutive ones."""
+def selected(grams: np.ndarray) -> np.ndarray:
+    """For each run of `SPAN` consecutive hashes, that is each window of words, the position of the last smallest one."""
     if len(grams) < SPAN:
         return np.zeros(0, np.int64)  # shorter than a window of words
     windows = np.lib.stride_tricks.sliding_window_view(grams, SPAN)
-    last = SPAN - 1 - windows[:, ::-1].argmin(axis=1)
-    return np.unique(last + np.arange(len(windows)))
+    return SPAN - 1 - windows[:, ::-1].argmin(axis=1) + np.arange(len(windows))
+
+
+def text_anchors(part: Slices) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position, hash, first and last window of each anchor of a text."""
+    grams = part.of(np.arange(part.n - GRAM + 1), np.arange(GRAM, part.n + 1))
+    at = selected(grams)  # grows with the window, so an anchor's windows are consecutive
+    pos, first, count = np.unique(at, return_index=True, return_counts=True)
+    return pos, grams[pos], first, first + count - 1
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """`(doc_id, text_hash, pos, seed, reach)` of every anchor of `docs (doc_id, text_hash, text binary)`."""
+    """`(doc_id, text_hash, pos, seed, reach, own)` of every anchor of `docs (doc_id, text_hash, text binary)`; `own` are
+    the windows that select it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, at, seeds, reaches = [], [], [], [], []
+            ids, ints, longs = [], [], []
             for i, raw in enumerate(batch.column(2).to_pylist()):
                 hashes = word_hashes(raw)
                 if len(hashes) < WINDOW:
                     continue
                 part = Slices(hashes)
-                grams = part.of(np.arange(len(hashes) - GRAM + 1), np.arange(GRAM, len(hashes) + 1))
-                pos = winnowed(grams)
-                low, high = np.maximum(pos - REACH, 0), np.minimum(pos + GRAM + REACH, len(hashes))
+                pos, seed, first, last = text_anchors(part)
+                own = (1 << (pos - first + 1)) - (1 << (pos - last))
+                reach = mix(part.of(first, last + WINDOW) + own.astype(np.uint64))
                 ids.append(np.full(len(pos), i))
-                at.append(pos)
-                seeds.append(grams[pos])
-                # the reach also tells how far the text goes on either side
-                reaches.append(mix(part.of(low, high) + ((pos - low) * 64 + (high - pos)).astype(np.uint64)))
-            rows = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+                ints.append(np.stack([pos, own]).astype(np.int32))
+                longs.append(np.stack([seed, reach]).view(np.int64))
+            rows = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))
+            two = np.concatenate(ints, axis=1) if ints else np.zeros((2, 0), np.int32)
+            pair = np.concatenate(longs, axis=1) if longs else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)),
-                pa.array(np.concatenate(at).astype(np.int32) if at else [], pa.int32()),
-                *[pa.array(np.concatenate(x).view(np.int64) if x else [], pa.int64()) for x in (seeds, reaches)],
-            ], names=["doc_id", "text_hash", "pos", "seed", "reach"])
+                batch.column(0).take(rows), batch.column(1).take(rows), pa.array(two[0]), pa.array(pair[0]), pa.array(pair[1]), pa.array(two[1]),
+            ], names=["doc_id", "text_hash", "pos", "seed", "reach", "own"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, pos int, seed long, reach long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, pos int, seed long, reach long, own int")
 
 
 def extensions(docs: DataFrame) -> DataFrame:
-    """`(seed, reach, shift, key)`: the windows of the occurrences listed in `at (pos, seed, reach)` of each document."""
+    """`(seed, reach, shift, key)`: the own windows of the occurrences listed in `at (pos, seed, reach, own)` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             for raw, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = Slices(word_hashes(raw))
-                pos = np.array([a["pos"] for a in listed], np.int64)
+                pos, own = (np.array([a[c] for a in listed], np.int64) for c in ("pos", "own"))
                 marks = np.array([(a["seed"], a["reach"]) for a in listed], np.int64).reshape(-1, 2)
                 for shift in range(SPAN):
-                    starts = pos - shift
-                    fits = (starts >= 0) & (starts + WINDOW <= part.n)
-                    out[0].append(marks[fits, 0])
-                    out[1].append(marks[fits, 1])
-                    out[2].append(np.full(int(fits.sum()), shift, np.int64))
-                    out[3].append(part.of(starts[fits], starts[fits] + WINDOW).view(np.int64))
+                    has = (own >> shift) & 1 == 1
+                    starts = pos[has] - shift
+                    out[0].append(marks[has, 0])
+                    out[1].append(marks[has, 1])
+                    out[2].append(np.full(len(starts), shift, np.int64))
+                    out[3].append(part.of(starts, starts + WINDOW).view(np.int64))
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)),
-                                              pa.array(columns[3])], names=["seed", "reach", "shift", "key"])
+            order = np.lexsort((columns[2], columns[1], columns[0]))  # neighbours share seed and reach: they compress
+            seed, reach, shift, key = (c[order] for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(reach), pa.array(shift.astype(np.int32)), pa.array(key)],
+                                             names=["seed", "reach", "shift", "key"])
 
     return docs.mapInArrow(run, "seed long, reach long, shift int, key long")
 
 
+def _of_rows(docs: DataFrame, rows: DataFrame, hash_: str) -> tuple[DataFrame, DataFrame]:
+    """`docs` with and without a row of the same id and text hash in `rows`, a table of distinct `(doc_id, text_hash)`.
+
+    Where the list is measured small, only the texts that are listed go on to a shuffle."""
+    side, _ = broadcast_if_small(rows.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (docs[hash_] == F.col("_h"))
+    return docs.join(side, same, "left_semi"), docs.join(side, same, "left_anti")
+
+
+def _beside(docs: DataFrame, listed: DataFrame, hash_: str, name: str) -> DataFrame:
+    """`docs` with the column `at` of their row in `listed`, as `name`."""
+    side = listed.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("at").alias(name))
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["_i"]) & (docs[hash_] == side["_h"])).drop("_i", "_h")
+
+
 def removal(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents keyed by id and text hash, and `(doc_id, text_hash, at)`: anchors with the windows that repeat."""
     ready(documents.sparkSession)
@@ -137,22 +158,24 @@ def removal(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     narrow = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("text_hash"),
                           whole(text).cast("binary").alias("text"))
     seeds = written(anchors(narrow), "anchors")
+    common = written(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "common-seeds")
+    side, _ = broadcast_if_small(common)
+    seeds = written(seeds.join(side, "seed", "left_semi"), "common-anchors")
     # a reach with its occurrences; where several reaches share a seed, one occurrence of each is extended
-    reaches = seeds.groupBy("seed", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("one"))
-    groups = reaches.groupBy("seed").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    shared = written(reaches.join(groups, "seed").select("seed", "reach", "n", "kinds", "one"), "reaches")
-    listed = shared.where("kinds > 1").select("one.*", "seed", "reach").groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("pos", "seed", "reach")).alias("at"))
-    once = listed.withColumnsRenamed({"doc_id": "_i", "text_hash": "_h"})
-    texts = narrow.join(once, narrow["doc_id"].eqNullSafe(once["_i"]) & (narrow["text_hash"] == once["_h"])).select("text", "at")
-    # repeated rows would list an occurrence twice: extensions are told apart by their reach
-    keys = written(extensions(texts).distinct(), "extensions")
-    met = keys.groupBy("seed", "shift", "key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    bits = keys.join(met, ["seed", "shift", "key"]).groupBy("seed", "reach").agg(F.expr("bit_or(1 << shift)").alias("bits"))
-    marked = shared.where("n > 1 or kinds > 1").select("seed", "reach", "n").join(bits, ["seed", "reach"], "left").select(
-        "seed", "reach", F.when(F.col("n") > 1, F.lit(ALL)).otherwise(F.coalesce("bits", F.lit(0))).alias("bits")).where("bits > 0")
+    reaches = seeds.groupBy("seed", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "pos", "own")).alias("one"))
+    groups = reaches.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"))
+    shared = written(reaches.join(groups, "seed"), "reaches")
+    listed = written(shared.where("kinds > 1").select("one.*", "seed", "reach").groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("pos", "seed", "reach", "own")).alias("at")), "listed")
+    texts = _beside(_of_rows(narrow, listed, "text_hash")[0], listed, "text_hash", "at").select("text", "at")
+    keys = written(extensions(texts), "extensions")
+    # repeated rows list an occurrence twice, but under one reach
+    met = keys.groupBy("seed", "key").agg(F.min("reach").alias("_least"), F.max("reach").alias("_most")).where("_least <> _most")
+    bits = keys.join(met.select("seed", "key"), ["seed", "key"]).groupBy("seed", "reach").agg(F.expr("bit_or(1 << shift)").alias("bits"))
+    marked = shared.where("n > 1 or kinds > 1").join(bits, ["seed", "reach"], "left").select(
+        "seed", "reach", F.when(F.col("n") > 1, F.col("one.own")).otherwise(F.coalesce("bits", F.lit(0))).alias("bits")).where("bits > 0")
     per_row = seeds.join(marked, ["seed", "reach"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "bits")).alias("at"))
-    return keyed, per_row
+    return keyed, written(per_row, "repeats")
 
 
 def covered(n: int, at: list[dict]) -> np.ndarray:
@@ -178,12 +201,13 @@ def stripped(raw: bytes, at: list[dict] | None) -> tuple[int, int, bytes]:
 
 
 def _with_marks(documents: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """`documents` with their repeated windows; texts without any stay where they are."""
     keyed, per_row = removal(documents, text)
     mark = free_name(documents, "_at")
-    key = keyed.columns[-1]
-    side = per_row.select(F.col("doc_id").alias("_id_side"), F.col("text_hash").alias("_hash_side"), F.col("at").alias(mark))
-    joined = keyed.join(side, keyed["doc_id"].cast("long").eqNullSafe(side["_id_side"]) & (keyed[key] == side["_hash_side"]), "left")
-    return joined.select(*documents.columns, mark), mark
+    touched, rest = _of_rows(keyed, per_row, keyed.columns[-1])
+    joined = _beside(touched, per_row, keyed.columns[-1], mark).select(*documents.columns, mark)
+    none = F.lit(None).cast(joined.schema[mark].dataType)
+    return joined.unionByName(rest.select(*documents.columns, none.alias(mark))), mark
 
 
 def repeats(documents: DataFrame, text: str = "text") -> DataFrame:
