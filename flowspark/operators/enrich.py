@@ -133,11 +133,3 @@ def fill_missing(df: DataFrame, columns: Sequence[str], mode: str = "zero") -> D
         return df.fillna(0, subset=list(columns))
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in columns})
-
-
-def all_keys(parts: Sequence[DataFrame]) -> DataFrame:
-    """Tables of different columns under one another, missing columns null."""
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out

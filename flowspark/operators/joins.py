@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.plans.scale import broadcast_if_small, first_per_key, lookup_join, salted_join
+from flowspark.plans.scale import first_per_key, lookup_join, salted_join
 
 
 def _text_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -68,7 +68,3 @@ def with_group_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
 def aligned(forecast: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Forecast rows next to the actual rows of the same time, field and group."""
     return forecast.join(actual, list(keys), "inner")
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    return broadcast_if_small(df)[0]
