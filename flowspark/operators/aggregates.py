@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.plans.scale import ordered, settle
+from flowspark.plans.scale import carry, join_back, ordered, settle
 
 
 def percent_rank_mean(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "percent_rank") -> DataFrame:
@@ -20,24 +20,25 @@ def percent_rank_mean(df: DataFrame, keys: Sequence[str], value: str, p: float,
     """
     if not 0 <= p <= 1:
         raise ValueError("the rank has to be between 0 and 1")
-    groups = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    placed = ordered(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [value])
-    lo = F.ceil((F.col("_n") - 1) * F.lit(p - 0.01)).cast("long")
-    hi = F.floor(F.col("_n") * F.lit(p + 0.01)).cast("long")
-    at = F.col("_pos") - 1
-    wanted = (
-        F.when(lo == hi, at == hi)
-        .when((hi - lo == 1) & (hi >= F.col("_n")), at == lo)
-        .when(hi - lo == 1, (at == lo) | (at == hi))
-        .otherwise((at > lo) & (at < hi))
-    )
-    means = placed.where(wanted).groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    groups = df.groupBy(*keys).agg(F.count(value).alias("_all"))
+    # equal values are one row with a count, so a value that most rows have is one row too
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
+    placed = carry(ordered(counted, keys, [value]), keys, {"_upto": ("_times", "sum")})
+    lo = F.ceil((F.col("_all") - 1) * F.lit(p - 0.01)).cast("long")
+    hi = F.floor(F.col("_all") * F.lit(p + 0.01)).cast("long")
+    pair = hi - lo == 1
+    first = F.when((lo == hi) | pair, lo).otherwise(lo + 1)
+    last = F.when(lo == hi, hi).when(pair & (hi >= F.col("_all")), lo).when(pair, hi).otherwise(hi - 1)
+    inside = F.greatest(F.lit(0), F.least(last, F.col("_upto") - 1) - F.greatest(first, F.col("_upto") - F.col("_times")) + 1)
+    taken = join_back(placed, groups, keys) if keys else placed.withColumn("_all", F.lit(groups.first()["_all"]))
+    means = taken.withColumn("_inside", inside).groupBy(*keys).agg(
+        (F.sum(F.col(value) * F.col("_inside")) / F.nullif(F.sum("_inside"), F.lit(0))).alias("_mean"))
     cond = F.lit(True)
     renamed = means.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_mean")
     for k in keys:
         cond = cond & groups[k].eqNullSafe(renamed[f"_m_{k}"])
     return groups.join(renamed, cond, "left").select(
-        *keys, F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("_mean")).alias(name))
+        *keys, F.when(F.col("_all") == 0, F.lit(0.0)).otherwise(F.col("_mean")).alias(name))
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "index", keys: Sequence[str] = ()) -> DataFrame:
