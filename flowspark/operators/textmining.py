@@ -83,14 +83,21 @@ def similar_clusters(df: DataFrame, row_id: str, tokens: str, similarity: float
 
 
 def string_hash(token: Column, bits: int) -> Column:
-    """Multiply-and-xor hash by 1000003 over the characters, cut to `bits` (at most 40) bits."""
-    if bits > 40:
-        raise ValueError("at most 40 bits")
-    mask = (1 << bits) - 1
-    chars = F.split(token, "")
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("long"))
-    start = F.shiftleft(F.get(codes, F.lit(0)), 7).bitwiseAND(F.lit((1 << 41) - 1))
-    mixed = F.aggregate(codes, start.bitwiseAND(F.lit(mask)), lambda x, c: (x * 1000003).bitwiseXOR(c).bitwiseAND(F.lit(mask)))
+    """Multiply-and-xor hash by 1000003 over the characters, cut to `bits` (at most 64) bits."""
+    if not 1 <= bits <= 64:
+        raise ValueError("1 to 64 bits")
+    mask = F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long")
+    half = F.lit((1 << 32) - 1)
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c).cast("long"))
+    start = F.shiftleft(F.get(codes, F.lit(0)), 7)
+
+    def times(x: Column) -> Column:
+        """Product modulo 2^64, by halves of 32 bits so that nothing overflows."""
+        low = x.bitwiseAND(half) * 1000003
+        high = (F.shiftrightunsigned(x, 32) * 1000003 + F.shiftrightunsigned(low, 32)).bitwiseAND(half)
+        return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(half))
+
+    mixed = F.aggregate(codes, start.bitwiseAND(mask), lambda x, c: times(x).bitwiseXOR(c).bitwiseAND(mask))
     return F.when(F.length(token) == 0, F.lit(0).cast("long")).otherwise(mixed.bitwiseXOR(F.length(token).cast("long")))
 
 

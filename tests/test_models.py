@@ -248,8 +248,9 @@ def py_simhash(tokens, bits):
 def test_simhash(spark):
     tokens = [["images", "a.png", "x"], ["Default.aspx"], ["a", "a", "b"]]
     df = spark.createDataFrame(list(enumerate(tokens)), "id int, t array<string>")
-    got = {r["id"]: r["simhash"] for r in textmining.simhash(df, "id", "t", 32).collect()}
-    assert got == {i: py_simhash(t, 32) for i, t in enumerate(tokens)}
+    for bits in (8, 32, 63, 64):
+        got = {r["id"]: r["simhash"] for r in textmining.simhash(df, "id", "t", bits).collect()}
+        assert got == {i: py_simhash(t, bits) for i, t in enumerate(tokens)}
 
 
 def test_signatures_and_clusters(spark):
