@@ -63,12 +63,13 @@ def normal_cdf(x: float) -> float:
 
 
 # Response surface coefficients published by MacKinnon (1994) for one series.
-MACKINNON_MAX = {"nc": math.inf, "c": 2.74, "ct": 0.7}
-MACKINNON_MIN = {"nc": -19.04, "c": -18.83, "ct": -16.18}
-MACKINNON_STAR = {"nc": -1.04, "c": -1.61, "ct": -2.89}
-MACKINNON_SMALL = {"nc": (0.6344, 1.2378, 0.032496), "c": (2.1659, 1.4412, 0.038269), "ct": (3.2512, 1.6047, 0.049588)}
+MACKINNON_MAX = {"nc": math.inf, "c": 2.74, "ct": 0.7, "ctt": 0.54}
+MACKINNON_MIN = {"nc": -19.04, "c": -18.83, "ct": -16.18, "ctt": -17.17}
+MACKINNON_STAR = {"nc": -1.04, "c": -1.61, "ct": -2.89, "ctt": -3.21}
+MACKINNON_SMALL = {"nc": (0.6344, 1.2378, 0.032496), "c": (2.1659, 1.4412, 0.038269), "ct": (3.2512, 1.6047, 0.049588),
+                   "ctt": (4.0003, 1.658, 0.048288)}
 MACKINNON_LARGE = {"nc": (0.4797, 0.93557, -0.06999, 0.033066), "c": (1.7339, 0.93202, -0.12745, -0.010368),
-                   "ct": (2.5261, 0.61654, -0.37956, -0.060285)}
+                   "ct": (2.5261, 0.61654, -0.37956, -0.060285), "ctt": (3.0778, 0.49529, -0.41477, -0.059359)}
 
 
 def mackinnon_p(t: float, regression: str) -> float:

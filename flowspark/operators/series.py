@@ -253,16 +253,20 @@ def breusch_pagan(df: DataFrame, keys: Sequence[str], residual: str, xs: Sequenc
 
 
 def adf_test(df: DataFrame, keys: Sequence[str], time: str, value: str, max_lag: int, regression: str = "c") -> DataFrame:
-    """Augmented Dickey-Fuller statistic and its approximate p-value; regression nc, c or ct."""
+    """Augmented Dickey-Fuller statistic and its approximate p-value; regression nc, c, ct or ctt (quadratic trend)."""
     wanted = {f"_l{k}": (value, k) for k in range(1, max_lag + 2)}
     placed = lags(ordered(df.select(*keys, time, value), keys, [time]), keys, wanted)
     placed = placed.withColumn("_d", F.col(value) - F.col("_l1"))
     for k in range(1, max_lag + 1):
         placed = placed.withColumn(f"_d{k}", F.col(f"_l{k}") - F.col(f"_l{k + 1}"))
     xs = ["_l1", *[f"_d{k}" for k in range(1, max_lag + 1)]]
-    if regression == "ct":
+    if regression in ("ct", "ctt"):
         placed = placed.withColumn("_trend", F.col("_pos").cast("double"))
         xs.append("_trend")
+    if regression == "ctt":
+        # centred, so that the sums of its powers stay well conditioned
+        placed = placed.withColumn("_bend", F.pow((F.col("_pos") - (F.col("_n") + 1) / 2) / F.col("_n"), 2))
+        xs.append("_bend")
     fit = least_squares(placed, keys, "_d", xs, intercept=regression != "nc")
     at = 0 if regression == "nc" else 1
     stat = fit.select(*keys, (F.get("coefficients", F.lit(at)) / F.get("std_errors", F.lit(at))).alias("statistic"))

@@ -100,6 +100,23 @@ def test_stationarity_tests_tell_walks_from_noise(spark):
     assert np.isclose(stat["walk"], FC.kpss_level(np.cumsum(noise)))
 
 
+def test_unit_root_with_quadratic_trend(spark):
+    """The statistic of the regression on level, trend, squared trend, last value and two differences, against numpy."""
+    rng = np.random.default_rng(11)
+    n = 300
+    y = 0.002 * np.arange(n) ** 2 + rng.normal(0, 1, n)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)], "key string, t int, v double")
+    got = series.adf_test(df, ["key"], "t", "v", 2, "ctt").first()
+    d = np.diff(y)
+    pos = np.arange(3, n)
+    x = np.column_stack([np.ones(n - 3), y[2:-1], d[1:-1], d[:-2], pos, (pos / n) ** 2])
+    beta, *_ = np.linalg.lstsq(x, d[2:], rcond=None)
+    sigma = ((d[2:] - x @ beta) ** 2).sum() / (len(pos) - x.shape[1])
+    t = beta[1] / np.sqrt(sigma * np.linalg.inv(x.T @ x)[1, 1])
+    assert np.isclose(got["statistic"], t, rtol=1e-5) and got["p_value"] < 0.01
+    assert abs(numeric.mackinnon_p(-3.83, "ctt") - 0.05) < 0.005
+
+
 def test_tails():
     assert abs(numeric.chi2_tail(3.841459, 1) - 0.05) < 1e-6
     assert abs(numeric.chi2_tail(18.307038, 10) - 0.05) < 1e-6
