@@ -174,6 +174,8 @@ def removal(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     bits = keys.join(met.select("seed", "key"), ["seed", "key"]).groupBy("seed", "reach").agg(F.expr("bit_or(1 << shift)").alias("bits"))
     marked = shared.where("n > 1 or kinds > 1").join(bits, ["seed", "reach"], "left").select(
         "seed", "reach", F.when(F.col("n") > 1, F.col("one.own")).otherwise(F.coalesce("bits", F.lit(0))).alias("bits")).where("bits > 0")
+    # a table of its own, so that the join's large partitions can be split
+    marked = written(marked, "marked")
     per_row = seeds.join(marked, ["seed", "reach"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "bits")).alias("at"))
     return keyed, written(per_row, "repeats")
 
