@@ -156,6 +156,22 @@ def test_densified_signature_estimates_similarity():
         assert abs((hasher.values(a) == hasher.values(b)).mean() - true) < 0.15
 
 
+def test_bitmaps_bound_what_is_shared(spark):
+    from pyspark.sql import functions as F
+
+    hasher, rng, rows = minhash.Hasher(), np.random.default_rng(2), []
+    for size in (3, 60, 170, 900, 5000):
+        shared = minhash.mix(rng.integers(1, 2**62, size, dtype=np.uint64))
+        a, b = (np.unique(np.concatenate([shared, minhash.mix(rng.integers(1, 2**62, size // 6, dtype=np.uint64))])) for _ in range(2))
+        marks = [np.concatenate([hasher.sketch(hasher.values(x)), hasher.bitmap(x)]).view(np.int64).tolist() for x in (a, b)]
+        rows.append((len(a), len(b), *marks, len(shared)))
+    df = spark.createDataFrame(rows, "a_n long, b_n long, a_sketch array<long>, b_sketch array<long>, shared long")
+    bound = minhash._shared_at_most(F.col("a_n"), F.col("a_sketch"), F.col("b_sketch"))
+    for r in df.select("shared", "a_n", bound.alias("bound")).collect():
+        assert r.shared <= r.bound <= r.a_n
+    assert df.select(bound.alias("bound"), "shared").where("bound = shared").count() >= 1
+
+
 def test_long_text_hashes_like_short_ones(monkeypatch):
     text = (" ".join(f"w{i}" for i in range(5000)) + "\n").encode()
     whole = minhash.word_hashes(text)
