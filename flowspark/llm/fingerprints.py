@@ -44,28 +44,33 @@ N_EXACT = 2 * len(EXACT_SEEDS)
 N_SIGNS = SHIFTS * len(SIGN_SEEDS)
 
 
-def fingerprints(df: DataFrame, keys: list[str], text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """One row per distinct `keys` with the fingerprint of `text` and the number of rows, `n_rows`; rows with equal
-    keys must have equal texts."""
+def fingerprints(df: DataFrame, keys: list[str], texts: dict[str, str] | None = None) -> DataFrame:
+    """One row per distinct `keys` with the number of rows, `n_rows`, and a fingerprint for each of `texts` (name of the
+    result: column; by default `fingerprint`: `text`), all from one pass; rows with equal keys must have equal texts."""
+    texts = texts or {"fingerprint": "text"}
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), pieces(whole(c)).alias("parts")) for i, c in enumerate(texts.values())])
+    by_side = df.select(*keys, F.explode(sides).alias("_s"))
+    exploded = by_side.select(*keys, F.col("_s.side").alias("_side"), F.posexplode_outer("_s.parts").alias("_at", "_piece"))
     # the hashes are columns of their own below the sums, so that each is computed once a piece
-    exploded = df.select(*keys, F.posexplode_outer(pieces(whole(text))).alias("_at", "_piece"))
     hashed = exploded.select(
-        *keys, (F.coalesce("_at", F.lit(0)) == 0).cast("long").alias("_copies"), F.col("_piece").isNotNull().alias("_is"),
-        *[F.xxhash64("_piece", F.lit(s)).alias(f"_h{s}") for s in (*EXACT_SEEDS, *SIGN_SEEDS)])
-
-    def counted(lane: Column) -> Column:
-        return F.sum(F.when(F.col("_is"), lane).otherwise(F.lit(0).cast("long")))
-
-    lanes = [F.sum(F.col("_is").cast("long"))]
+        *keys, "_side", ((F.coalesce("_at", F.lit(0)) == 0) & (F.col("_side") == 0)).cast("long").alias("_copies"),
+        F.col("_piece").isNotNull().alias("_is"), *[F.xxhash64("_piece", F.lit(s)).alias(f"_h{s}") for s in (*EXACT_SEEDS, *SIGN_SEEDS)])
+    values = [F.lit(1).cast("long")]
     for s in EXACT_SEEDS:
-        lanes += [counted(F.col(f"_h{s}").bitwiseAND(F.lit(LOW))), counted(F.shiftrightunsigned(f"_h{s}", 32))]
+        values += [F.col(f"_h{s}").bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(f"_h{s}", 32)]
     for s in SIGN_SEEDS:
-        lanes += [counted(F.shiftrightunsigned(f"_h{s}", k).bitwiseAND(F.lit(FIELDS))) for k in range(SHIFTS)]
-    summed = hashed.groupBy(*keys).agg(F.sum("_copies").alias("_copies"), *[x.alias(f"_l{i}") for i, x in enumerate(lanes)])
-    # repeated rows add up to a multiple of one row's vector
-    single = [F.expr(f"_l{i} div _copies") for i in range(len(lanes))]
-    single[1:1 + N_EXACT] = [x.bitwiseAND(F.lit(LOW)) for x in single[1:1 + N_EXACT]]
-    return summed.select(*keys, F.array(*single).alias(out), F.col("_copies").alias("n_rows"))
+        values += [F.shiftrightunsigned(f"_h{s}", k).bitwiseAND(F.lit(FIELDS)) for k in range(SHIFTS)]
+    summed = hashed.groupBy(*keys).agg(F.sum("_copies").alias("_copies"), *[
+        F.sum(F.when(F.col("_is") & (F.col("_side") == side), v).otherwise(F.lit(0).cast("long"))).alias(f"_l{side}_{i}")
+        for side in range(len(texts)) for i, v in enumerate(values)])
+
+    def packed(side: int) -> Column:
+        # repeated rows add up to a multiple of one row's vector
+        lanes = [F.expr(f"_l{side}_{i} div _copies") for i in range(len(values))]
+        lanes[1:1 + N_EXACT] = [x.bitwiseAND(F.lit(LOW)) for x in lanes[1:1 + N_EXACT]]
+        return F.array(*lanes)
+
+    return summed.select(*keys, *[packed(i).alias(name) for i, name in enumerate(texts)], F.col("_copies").alias("n_rows"))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
@@ -121,10 +126,11 @@ def edited(documents: DataFrame, text: str = "text") -> DataFrame:
     A document sends its next-door neighbour only the front it needs, so texts cross the network once and a quarter.
     """
     ready(documents.sparkSession)
-    docs = documents.select("doc_id", whole(text).alias("text")).withColumns(
-        {"n_chars": F.length("text"), "text_hash": text_key("text")})
-    near = neighbours(docs).withColumnRenamed("doc_id", "_id")
-    placed = docs.join(near, docs["doc_id"].eqNullSafe(near["_id"])).drop("_id")
+    docs = documents.select("doc_id", whole(text).alias("text"))
+    measures = {"n_chars": F.length("text"), "text_hash": text_key("text")}
+    near = neighbours(docs.withColumns(measures)).withColumnRenamed("doc_id", "_id")
+    # nothing but id and text goes through the exchange, so both uses below share it
+    placed = docs.join(near, docs["doc_id"].eqNullSafe(near["_id"])).drop("_id").withColumns(measures)
     fronts = placed.where("text_hash = head").select(
         F.col("prev_id").alias("_to"), F.expr("substring(text, 1, prev_most div 4)").alias("_front"), F.col("text_hash").alias("next_hash"))
     fronts = fronts.groupBy("_to").agg(F.first("_front").alias("_front"), F.first("next_hash").alias("next_hash"))
@@ -136,24 +142,20 @@ def edited(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def compared(documents: DataFrame, text: str = "text") -> DataFrame:
     """Per row: fingerprints of the text and the edited text, and how alike the text is to that and to the next document."""
-    changed = edited(documents, text)
-    own = fingerprints(documents.select("doc_id", whole(text).alias("text")).withColumn("text_hash", text_key("text")),
-                       ["doc_id", "text_hash"])
     keys = ["doc_id", "text_hash", "n_chars", "next_id", "next_hash", "edited_sha256"]
-    other = fingerprints(changed.withColumn("edited_sha256", F.sha2("edited", 256)), keys, "edited", "edited_print")
-
-    def with_print(df: DataFrame, id_: str, hash_: str, name: str) -> DataFrame:
-        side = own.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("fingerprint").alias(name))
-        return df.join(side, df[id_].eqNullSafe(side["_i"]) & (df[hash_] == side["_h"])).drop("_i", "_h")
-
-    joined = with_print(with_print(other, "doc_id", "text_hash", "own_print"), "next_id", "next_hash", "next_print")
+    changed = edited(documents, text).withColumn("edited_sha256", F.sha2("edited", 256))
+    prints = fingerprints(changed, keys, {"own": "text", "edited_print": "edited"})
 
     def digest(name: str) -> Column:
         return F.sha2(F.array_join(F.col(name).cast("array<string>"), " "), 256)
 
+    # one row per id and text; the edited lanes have done their work here
+    table = written(prints.select(
+        "doc_id", "text_hash", F.col("n_chars").cast("long").alias("n_chars"), "next_id", "next_hash", "edited_sha256",
+        digest("own").alias("fingerprint"), digest("edited_print").alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edited_print")).alias("near_edited"), "own", "n_rows"), "prints")
+    side = table.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("own").alias("_next"))
+    joined = table.join(side, table["next_id"].eqNullSafe(side["_i"]) & (table["next_hash"] == side["_h"]))
     repeated = joined.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return repeated.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", digest("own_print").alias("fingerprint"),
-        digest("edited_print").alias("edited_fingerprint"),
-        likeness(F.col("own_print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("own_print"), F.col("next_print")).alias("near_next"))
+    return repeated.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+                           likeness(F.col("own"), F.col("_next")).alias("near_next"))
