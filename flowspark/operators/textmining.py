@@ -15,27 +15,36 @@ from flowspark.plans.scale import checkpoint, first_per_key
 GAP = "\u0000"      # a parameter inside a template
 JOIN = "\u0001"     # between the tokens of a template
 HASHES = 128
+RECALL = 0.999      # that a pair at the threshold shares a band
+GROWTH = 16
 
 
 # -- signatures ----------------------------------------------------------------------
 
-def minhash_signature(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
-    """`(row_id, sig_hi, sig_lo)`: low bit of the smallest of each of 128 seeded token hashes.
+def _minima(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
+    """`(row_id, h0 ... h127)`: the smallest of each of 128 seeded token hashes.
 
     Tokens are exploded next to their row, so the 128 minima are combined before the shuffle and
-    one row per document crosses it. Rows without tokens get no signature.
+    one row per document crosses it. Rows without tokens have no minima.
     """
     terms = df.select(row_id, F.explode(F.array_distinct(tokens)).alias("t")).select(row_id, F.xxhash64("t").alias("t"))
-    minima = terms.groupBy(row_id).agg(*[F.min(F.xxhash64("t", F.lit(i))).alias(f"h{i}") for i in range(HASHES)])
+    return terms.groupBy(row_id).agg(*[F.min(F.xxhash64("t", F.lit(i))).alias(f"h{i}") for i in range(HASHES)])
 
-    def pack(first):
-        word = F.lit(0).cast("long")
-        for i in range(64):
-            bit = F.col(f"h{first + i}").bitwiseAND(F.lit(1).cast("long"))
-            word = word.bitwiseOR(F.shiftleft(bit, i))
-        return word
 
-    return minima.select(row_id, pack(0).alias("sig_hi"), pack(64).alias("sig_lo"))
+def _pack(first: int) -> Column:
+    word = F.lit(0).cast("long")
+    for i in range(64):
+        bit = F.col(f"h{first + i}").bitwiseAND(F.lit(1).cast("long"))
+        word = word.bitwiseOR(F.shiftleft(bit, i))
+    return word
+
+
+def minhash_signature(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
+    """`(row_id, sig_hi, sig_lo)`: low bit of the smallest of each of 128 seeded token hashes.
+
+    Rows without tokens get no signature.
+    """
+    return _minima(df, row_id, tokens).select(row_id, _pack(0).alias("sig_hi"), _pack(64).alias("sig_lo"))
 
 
 def signature_distance(a_hi, a_lo, b_hi, b_lo) -> Column:
@@ -47,39 +56,83 @@ def within(distance: Column, similarity: float) -> Column:
     return distance <= (1 - similarity + 0.05) * HASHES
 
 
-def similar_clusters(df: DataFrame, row_id: str, tokens: str, similarity: float = 0.7, bands: int = 8,
+def bands_for(similarity: float) -> int:
+    """As few bands as still let a pair of this Jaccard similarity share one with `RECALL`."""
+    for bands in (16, 32, 64):
+        if 1 - (1 - similarity ** (HASHES // bands)) ** bands >= RECALL:
+            return bands
+    return HASHES
+
+
+def banded_signatures(df: DataFrame, row_id: str, tokens: str, bands: int) -> DataFrame:
+    """`(row_id, sig_hi, sig_lo, buckets)`: a bucket is a hash of a band's whole minima, not of their low bits, so unlike
+    rows meet as rarely in a large table as in a small one."""
+    rows = HASHES // bands
+    buckets = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + i}" for i in range(rows)]) for b in range(bands)])
+    return _minima(df, row_id, tokens).select(row_id, _pack(0).alias("sig_hi"), _pack(64).alias("sig_lo"), buckets.alias("buckets"))
+
+
+def similar_clusters(df: DataFrame, row_id: str, tokens: str, similarity: float = 0.7, bands: int | None = None,
                      crowd: int = 64) -> DataFrame:
-    """`(row_id, cluster)`: rows joined through shared signature bands.
+    """`(row_id, cluster)`: rows joined through shared bands of their minima.
+
+    Two rows are linked when they share a band and their signatures are `within` the similarity. There are
+    as many bands as `bands_for` says: at a Jaccard similarity of 0.7 a pair shares none of 32 bands of 4
+    with a probability below 2e-4, whatever the size of the table.
 
-    Equal signatures collapse first. All signatures that share a band are compared with each other, whatever the size of
-    the table: a bucket of more than `crowd` signatures is split by the bits of the band that follows, again and again
-    until its parts are small (all 128 bits tell any two apart), so a signature meets at most `crowd` others per band.
+    Equal signatures collapse first. In each bucket all members are compared with one centre. Members outside the
+    component of their bucket's centre become centres in turn, `crowd` a bucket in the first round and `GROWTH` times as
+    many in each further one, and are compared with the bucket's members of other components, until none is left: every
+    pair that shares a bucket is settled, no bucket is cut or split.
     """
-    signed = checkpoint(minhash_signature(df, row_id, tokens))
-    width = 64 * 2 // bands
-    one = signed.groupBy("sig_hi", "sig_lo").agg(F.min(row_id).alias("rep"))
-    mask = (1 << width) - 1
-    bits = F.array(*[F.shiftrightunsigned(F.col("sig_hi") if b * width < 64 else F.col("sig_lo"), (b * width) % 64).bitwiseAND(F.lit(mask))
-                     for b in range(bands)])
-    filed = one.select("*", bits.alias("_bits"), F.explode(F.array(*map(F.lit, range(bands)))).alias("band"))
-    found = one.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    for depth in range(1, bands + 1):
-        key = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.get("_bits", (F.col("band") + i) % bands)).cast(
-            "array<string>"), ",")
-        keyed = filed.withColumn("_key", key)
-        sizes = keyed.groupBy("band", "_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-        keyed = checkpoint(keyed.join(sizes, ["band", "_key"]))
-        small = keyed.where(F.col("_size") <= crowd).select("band", "_key", "rep", "sig_hi", "sig_lo")
-        other = small.select("band", "_key", *[F.col(c).alias(f"o_{c}") for c in ("rep", "sig_hi", "sig_lo")])
-        near = small.join(other, ["band", "_key"]).where(
-            (F.col("rep") < F.col("o_rep")) & within(signature_distance("sig_hi", "sig_lo", "o_sig_hi", "o_sig_lo"), similarity))
-        found = found.union(near.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
-        filed = keyed.where(F.col("_size") > crowd).drop("_key", "_size")
-        if filed.isEmpty():
-            break
-    groups = components(found)
-    reps = one.join(groups, F.col("rep") == F.col("node")).select("sig_hi", "sig_lo", "component")
-    return signed.join(reps, ["sig_hi", "sig_lo"]).select(row_id, F.col("component").alias("cluster"))
+    signed = checkpoint(banded_signatures(df, row_id, tokens, bands or bands_for(similarity)))
+    # equal bits can stand for different minima: a node has the buckets of all its rows
+    one = checkpoint(signed.groupBy("sig_hi", "sig_lo").agg(
+        F.min(row_id).alias("rep"), F.array_distinct(F.flatten(F.collect_set("buckets"))).alias("buckets")))
+    entries = one.select("rep", "sig_hi", "sig_lo", F.explode("buckets").alias("bucket"))
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    entries = checkpoint(entries.join(sizes, "bucket"))
+    # the centre is the member that meets most others over all buckets
+    met = entries.groupBy("rep").agg(F.sum("_size").alias("_met"))
+    first = entries.join(met, "rep").groupBy("bucket").agg(
+        F.min_by(F.struct(F.col("rep").alias("c_rep"), F.col("sig_hi").alias("c_hi"), F.col("sig_lo").alias("c_lo")),
+                 F.struct(-F.col("_met"), F.col("rep"))).alias("_c")).select("bucket", "_c.*")
+    members = checkpoint(entries.drop("_size").join(first, "bucket"))
+    near = within(signature_distance("sig_hi", "sig_lo", "c_hi", "c_lo"), similarity)
+    edges = checkpoint(members.where((F.col("rep") != F.col("c_rep")) & near).select(F.col("c_rep").alias("a"), F.col("rep").alias("b")).distinct())
+    found = checkpoint(components(edges))
+    left = _stragglers(members, found)
+    members = members.select("bucket", "rep", "sig_hi", "sig_lo")
+    most = crowd
+    while not left.isEmpty():
+        # an even share of each bucket's stragglers, by a hash that every round draws anew
+        counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("_many"))
+        share = F.pmod(F.xxhash64("rep", F.lit(most)), F.col("_many")) < most
+        chosen = checkpoint(left.join(counts, "bucket").where(share).select("bucket", "rep", "sig_hi", "sig_lo"))
+        centres = _placed(chosen, found, "rep", "_of").select(
+            F.col("bucket").alias("_bucket"), F.col("rep").alias("c_rep"), F.col("sig_hi").alias("c_hi"), F.col("sig_lo").alias("c_lo"), "_of")
+        placed = _placed(members.join(chosen.select("bucket").distinct(), "bucket", "left_semi"), found, "rep", "_own")
+        new = placed.join(centres, (placed["bucket"] == centres["_bucket"]) & (F.col("_own") != F.col("_of")) & near)
+        new = checkpoint(new.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct())
+        if not new.isEmpty():
+            edges = edges.union(new)
+            found = checkpoint(components(edges))
+        left = _stragglers(left.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti"), found)
+        most *= GROWTH
+    reps = _placed(one.select("rep", "sig_hi", "sig_lo"), found, "rep", "cluster").select("sig_hi", "sig_lo", "cluster")
+    return signed.join(reps, ["sig_hi", "sig_lo"]).select(row_id, "cluster")
+
+
+def _placed(df: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    """`df` with the component of `node`, itself where it has no edge."""
+    side = found.select(F.col("node").alias(node), F.col("component").alias(name))
+    return df.join(side, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _stragglers(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members outside the component of their bucket's centre."""
+    both = _placed(_placed(members, found, "rep", "_own"), found, "c_rep", "_of_centre")
+    return checkpoint(both.where("_own <> _of_centre").select(*members.columns))
 
 
 def string_hash(token: Column, bits: int) -> Column:

@@ -281,6 +281,55 @@ def test_planted_pairs_are_joined_at_any_size(spark, pairs, crowd):
     assert len(set(got.values())) >= 0.99 * pairs
 
 
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_pairs_at_the_threshold_are_joined(spark, crowd):
+    """Pairs with a Jaccard similarity of just 0.7: 70 of 100 words are common."""
+    rng = np.random.default_rng(crowd)
+    rows = []
+    for k in range(1000):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 100)]
+        rows += [(2 * k, words[:85]), (2 * k + 1, words[:70] + words[85:])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    got = {r["id"]: r["cluster"] for r in textmining.similar_clusters(df, "id", "t", 0.7, crowd=crowd).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(1000)) >= 998
+    assert len(set(got.values())) >= 990
+
+
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_crowded_buckets_are_settled_whole(spark, crowd):
+    """Every pair that shares a bucket of far more than `crowd` rows is settled, as brute force does it."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        words = [f"b{k}" for k in range(80)]
+        at = int(rng.integers(0, 60))
+        words[at:at + 20] = [f"n{i // 2}_{k}" for k in range(14)] + [f"m{i}_{k}" for k in range(6)]
+        rows.append((i, words))
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    signed = textmining.banded_signatures(df, "id", "t", 64).collect()
+    low, full = {r["id"]: r["id"] for r in signed}, {}
+    for r in signed:
+        for bucket in r["buckets"]:
+            full.setdefault(bucket, []).append(r)
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for own in full.values():
+        for x, a in enumerate(own):
+            for b in own[:x]:
+                far = sum(bin((a[c] ^ b[c]) & (2**64 - 1)).count("1") for c in ("sig_hi", "sig_lo"))
+                if far <= (1 - 0.95 + 0.05) * 128:
+                    p, q = find(a["id"]), find(b["id"])
+                    low[max(p, q)] = min(p, q)
+    assert max(map(len, full.values())) > 64
+    got = {r["id"]: r["cluster"] for r in textmining.similar_clusters(df, "id", "t", 0.95, bands=64, crowd=crowd).collect()}
+    assert got == {i: find(i) for i in low}
+    assert 1 < len(set(got.values())) < len(rows)
+
+
 def test_date_slots(spark):
     from pyspark.sql import functions as F
 
