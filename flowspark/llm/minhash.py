@@ -12,9 +12,11 @@
    stars of their own, `CENTRES` a bucket in the first round and `GROWTH` times as many in each further one, to the
    members of other components, until no straggler is left: every pair that shares a bucket has been settled, no
    bucket is cut short.
-   A pair is confirmed on full sets when its sizes and its bitmaps allow the similarity (both are exact bounds) and its
-   sketches, 4 bits of each bin, agree in `AGREE` of 288 bins; at a similarity of 0.75 they agree in fewer with a
-   probability below 1e-6. All that is compared where the pair arises, so hopeless pairs never leave the join.
+   A pair is confirmed on full sets when its sizes and its bitmaps allow the similarity (both are exact bounds). Of two
+   sets of `LARGE` shingles or more, whose bitmaps fill up, the sketches, 4 bits of each bin, must also agree in `AGREE`
+   of 288 bins; at a similarity of 0.75 they agree in fewer with a probability below 2e-6. In smaller sets few shingles
+   fill many bins and the sketch is too noisy to decide. All that is compared where the pair arises, so hopeless pairs
+   never leave the join.
 5. Components by smallest neighbours over the confirmed edges and the class memberships.
 
 At a similarity of 0.75 a pair shares no bucket with a probability of (1 - 0.75^6)^48 < 1e-4, at 0.8 < 1e-6.
@@ -45,6 +47,7 @@ BINS = BANDS * ROWS
 CENTRES, GROWTH = 64, 16
 NIBBLES = 16  # 4-bit values in a long
 AGREE = 185  # of BINS
+LARGE = 512  # shingles from which sketches count
 BITS = 1024  # of a set's bitmap
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -196,7 +199,8 @@ def _likely(a: str, b: str) -> Column:
     n_a, n_b, s_a, s_b = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}sketch"), F.col(f"{b}sketch")
     shared = F.least(_shared_at_most(n_a, s_a, s_b), _shared_at_most(n_b, s_b, s_a))
     return ((100 * F.least(n_a, n_b) >= SIMILARITY * F.greatest(n_a, n_b))
-            & (100 * shared >= SIMILARITY * (n_a + n_b - shared)) & (agreeing(s_a, s_b) >= AGREE))
+            & (100 * shared >= SIMILARITY * (n_a + n_b - shared))
+            & ((F.least(n_a, n_b) < LARGE) | (agreeing(s_a, s_b) >= AGREE)))
 
 
 def _starred(classes: DataFrame) -> DataFrame:

@@ -146,6 +146,20 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert minhash.deduplicated(none).count() == 0
 
 
+def test_short_pairs_are_not_lost_by_their_sketch(spark):
+    """A text of seven words and one more: similarity 0.75, few shingles fill all bins, so sketches differ by chance."""
+    hasher, texts = minhash.Hasher(), []
+    for k in range(6000):
+        words = [f"s{k}_{j}" for j in range(8)]
+        pair = [" ".join(words[:7]), " ".join(words)]
+        a, b = (hasher.values(minhash.shingle_set(t.encode())) for t in pair)
+        if ((a & np.uint64(15)) == (b & np.uint64(15))).sum() < minhash.AGREE and set(hasher.buckets(a)) & set(hasher.buckets(b)):
+            texts += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    assert len(texts) >= 10
+    rows = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in rows) and len(rows) == len(texts)
+
+
 def test_densified_signature_estimates_similarity():
     hasher, rng = minhash.Hasher(), np.random.default_rng(1)
     for size in (8, 60, 2000):
