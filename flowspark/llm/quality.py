@@ -12,7 +12,9 @@ large is rejected.
   distances, new distances from them; every step lowers the determinant. Quantiles come from mergeable sketches, means
   and products from partial sums, so a group with a third of all rows is combined before it is shuffled.
 * Distances of a group that spreads more than its estimate says are scaled down until their median is the chi-square
-  median; then they are compared with the cutoff.
+  median; then they are compared with the cutoff, the 0.9999 quantile of chi-square with five degrees of freedom. The
+  floors are such that half of the words repeated, or a repeated line to 16 words, is beyond it by itself in a group
+  where nothing repeats.
 * Groups of fewer than `LEAST` texts take the estimate of their language, languages below that the one of all texts.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is a group value like any
@@ -30,10 +32,10 @@ from flowspark.llm.shared import BLANKS, ready, whole, written
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 #: name of a statistic: floor of its scale
-FLOORS = {"u_length": 0.03, "u_symbols": 0.04, "u_lines": 0.6, "u_repeats": 0.15, "u_words": 0.5}
+FLOORS = {"u_length": 0.03, "u_symbols": 0.04, "u_lines": 0.35, "u_repeats": 0.13, "u_words": 0.5}
 KEEP, STEPS, LEAST = 0.75, 3, 200
 CHI_MEDIAN = 4.351  # median of chi-square with five degrees of freedom
-CUTOFF = 48.0
+CUTOFF = 25.745  # its 0.9999 quantile
 ACCURACY = 2000
 
 

@@ -488,3 +488,21 @@ def test_distances_equal_numpy(spark):
                 if (group[i][1] == "tiny") == wide:
                     assert math.isclose(got[i].distance, far[i], rel_tol=1e-6), i
     assert all(got[i].kept == (i % 12 != 0) for i in got)
+
+
+def test_outliers_in_one_statistic_alone(spark):
+    rng = random.Random(12)
+
+    def some(n, size=6):
+        return ["".join(rng.choice("abcdefghijklmnop") for _ in range(size + rng.randrange(-1, 2))) for _ in range(n)]
+
+    texts = [" ".join(some(rng.randrange(90, 111))) for _ in range(600)]
+    lines = "".join(" ".join(some(14)) + "\nheader\n" for _ in range(9))
+    repeats = " ".join(" ".join(some(3) + ["one", "two", "three"]) for _ in range(16)) + " " + " ".join(some(2))
+    symbols = " ".join(w + "$" * (i % 3 == 0) for i, w in enumerate(some(100)))
+    planted = {"u_lines": lines, "u_repeats": repeats, "u_symbols": symbols, "u_length": " ".join(some(100, 14)), "u_words": " ".join(some(3000))}
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts + list(planted.values()))]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for k, name in enumerate(planted):
+        assert not got[600 + k].base_failed and not got[600 + k].kept, (name, got[600 + k].distance)
+    assert sum(got[i].kept for i in range(600)) >= 598
