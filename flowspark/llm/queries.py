@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm import bpe, fingerprints, langid, licenses, minhash, mixing, quality, substrings, tokens, warc
+from flowspark.llm import bpe, decontaminate, fingerprints, langid, licenses, minhash, mixing, periods, quality, spelling, substrings, tokens, warc
 from flowspark.llm.shared import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,22 @@ def language_id(documents: DataFrame) -> DataFrame:
 @query("op7_warc_archives", table="pages", sql=warc.ORACLE)
 def warc_archives(pages: DataFrame) -> DataFrame:
     return warc.archived(pages)
+
+
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    read = ready(spark).read
+    return decontaminate.judged(read.parquet(f"{folder}/documents.parquet"), read.parquet(f"{folder}/benchmark.parquet"))
+
+
+QUERIES["op11_benchmark_decontamination"] = benchmark_decontamination
+ORACLE["op11_benchmark_decontamination"] = decontaminate.ORACLE
+
+
+@query("op12_periodic_runs", sql=periods.ORACLE)
+def periodic_runs(documents: DataFrame) -> DataFrame:
+    return periods.judged(documents)
+
+
+@query("op13_spelling_variants", sql=spelling.ORACLE)
+def spelling_variants(documents: DataFrame) -> DataFrame:
+    return spelling.variants(documents)
