@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowspark.catalog.base import Tables, query
 from flowspark.functions import text as tx
+from flowspark.operators import patterns as P
 from flowspark.operators import textmining as M
 from flowspark.operators import vectors as V
 
@@ -70,7 +71,7 @@ _ERROR_KEY = "'user*did error on item*and failed with code*'"
 SELECT CASE WHEN event_type = 'error' THEN {_ERROR_KEY} ELSE 'user*did*on item*in ms:*' END AS pattern_key,
        count(*) AS pattern_size, round(count(*) / (SELECT count(*) FROM events), 6) AS pattern_scale FROM events GROUP BY 1""")
 def _(t: Tables):
-    out = M.mine_patterns(_log_lines(t), "line", 0.95)
+    out = P.mine_patterns(_log_lines(t), "line", 0.95)
     return out.select("pattern_key", "pattern_size", F.round("pattern_scale", 6).alias("pattern_scale"))
 
 
@@ -79,8 +80,8 @@ SELECT event_id, true AS "isMatch", CASE WHEN event_type = 'error' THEN {_ERROR_
        ELSE 'user*did ' || event_type || ' on item*in ms:*' END AS "patternKey" FROM events""")
 def _(t: Tables):
     lines = _log_lines(t)
-    model = M.mine_patterns(lines, "line", 0.97)
-    return M.match_patterns(lines, "line", model).select("event_id", "isMatch", "patternKey")
+    model = P.mine_patterns(lines, "line", 0.97)
+    return P.match_patterns(lines, "line", model).select("event_id", "isMatch", "patternKey")
 
 
 @query("x08_similar_clusters")

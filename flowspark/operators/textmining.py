@@ -1,19 +1,14 @@
-"""Log pattern mining and text signatures."""
+"""Text signatures and clusters of similar rows."""
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.text import as_col, log_tokens
+from flowspark.functions.text import as_col
 from flowspark.operators.graph import components
-from flowspark.plans.scale import checkpoint, first_per_key
+from flowspark.plans.scale import checkpoint
 
-GAP = "\u0000"      # a parameter inside a template
-JOIN = "\u0001"     # between the tokens of a template
 HASHES = 128
 RECALL = 0.999      # that a pair at the threshold shares a band
 GROWTH = 16
@@ -174,177 +169,3 @@ def simhash(df: DataFrame, row_id: str, tokens: str, bits: int = 32, weight: str
     bit = (lambda c: c > 0) if weight else (lambda c: c >= 0)
     vector = F.array(*[F.when(bit(F.col(f"v{i}")), 1.0).otherwise(0.0) for i in reversed(range(bits))])
     return summed.select(row_id, vector.alias("simhash"))
-
-
-# -- pattern mining ----------------------------------------------------------------------
-
-def lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence of two token lists."""
-    head = 0
-    while head < len(a) and head < len(b) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head:len(a) - tail], b[head:len(b) - tail]
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = table[i], table[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    out, i, j = [(k, k) for k in range(head)], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            out.append((head + i, head + j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
-
-
-def merge_templates(a: list[str], b: list[str], min_matched: float) -> list[str] | None:
-    """The common template of two, or None when it covers too little of either."""
-    if min(len(a), len(b)) < min_matched * max(len(a), len(b)):
-        return None
-    common = lcs(a, b)
-    if len(common) < min_matched * len(a) or len(common) < min_matched * len(b):
-        return None
-    out, i, j = [], 0, 0
-    for p, q in common:
-        if (p > i or q > j) and (not out or out[-1] != GAP):
-            out.append(GAP)
-        if a[p] != GAP or not out or out[-1] != GAP:
-            out.append(a[p])
-        i, j = p + 1, q + 1
-    if (i < len(a) or j < len(b)) and (not out or out[-1] != GAP):
-        out.append(GAP)
-    return out if any(t != GAP and t.strip() for t in out) else None
-
-
-def mask_tokens(tokens: Column) -> Column:
-    """Tokens joined to one text, digit runs as parameters."""
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), F.lit(GAP)).otherwise(t))
-    return F.array_join(masked, JOIN)
-
-
-def mine_patterns(df: DataFrame, text: str, min_matched: float = 0.7, chunk: int = 400, rounds: int = 4) -> DataFrame:
-    """Log templates with their shares: cluster_total, cluster_scale, pattern, pattern_key,
-    pattern_size, pattern_scale, lcs.
-
-    Lines are first counted by their masked tokens. In every round the remaining templates are put
-    into buckets (by different keys per round), large buckets are split into chunks of about
-    `chunk` templates, and each chunk merges its templates greedily by their longest common
-    subsequence. Counts are added up after every round, so only templates are shuffled again.
-    """
-    lines = df.select(F.trim(text).alias("line")).where("line <> ''")
-    table = lines.select(mask_tokens(log_tokens("line")).alias("template")).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-
-    def merge(frame):
-        import pandas as pd
-
-        found: list[tuple[list[str], int]] = []
-        for template, n in frame.sort_values(["n", "template"], ascending=[False, True])[["template", "n"]].itertuples(index=False):
-            tokens = template.split(JOIN)
-            best, best_at = None, -1
-            for at, (known, _) in enumerate(found):
-                joined = merge_templates(known, tokens, min_matched)
-                if joined is not None and (best is None or len(joined) > len(best)):
-                    best, best_at = joined, at
-            if best is None:
-                found.append((tokens, int(n)))
-            else:
-                found[best_at] = (best, found[best_at][1] + int(n))
-        return pd.DataFrame({"template": [JOIN.join(t) for t, _ in found], "n": [n for _, n in found]})
-
-    tokens = F.split("template", JOIN)
-    texts = F.filter(tokens, lambda t: (t != GAP) & (t != ""))
-    buckets = [
-        F.concat_ws("|", F.size(tokens).cast("string"), F.get(texts, F.lit(0))),
-        F.array_min(F.transform(texts, lambda t: F.xxhash64(t))).cast("string"),
-        F.array_max(F.transform(texts, lambda t: F.xxhash64(t))).cast("string"),
-        F.lit("all"),
-    ]
-    table = checkpoint(table)
-    for r in range(rounds):
-        keyed = table.withColumn("bucket", F.coalesce(buckets[r % len(buckets)], F.lit("")))
-        sizes = keyed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-        split = keyed.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("template", F.lit(r)), F.col("parts")))
-        merged = split.groupBy("bucket", "part").applyInPandas(merge, "template string, n long")
-        table = checkpoint(merged.groupBy("template").agg(F.sum("n").alias("n")))
-    total = table.agg(F.sum("n").alias("t")).first()["t"] or 0
-
-    def describe(frames):
-        for frame in frames:
-            out = [describe_template(t) for t in frame["template"]]
-            yield frame.assign(pattern=[o[0] for o in out], pattern_key=[o[1] for o in out], lcs=[o[2] for o in out])[
-                ["n", "template", "pattern", "pattern_key", "lcs"]]
-
-    told = table.mapInPandas(describe, "n long, template string, pattern string, pattern_key string, lcs string")
-    return told.select(F.lit(total).alias("cluster_total"), F.lit(1.0).alias("cluster_scale"), "pattern", "pattern_key",
-                       F.col("n").alias("pattern_size"), (F.col("n") / F.lit(total)).alias("pattern_scale"), "lcs", "template")
-
-
-def describe_template(template: str) -> tuple[str, str, str]:
-    """Elements as JSON, key with `*` for parameters, the fixed texts."""
-    elements, number = [], 0
-    for token in template.split(JOIN):
-        if token == GAP:
-            elements.append({"param": str(number)})
-            number += 1
-        elif elements and "text" in elements[-1]:
-            elements[-1]["text"] += token
-        else:
-            elements.append({"text": token})
-    texts = [e["text"] for e in elements if "text" in e]
-    key = "".join(e["text"].strip() if "text" in e else "*" for e in elements)
-    return json.dumps(elements, ensure_ascii=False), key, ",".join(texts)
-
-
-def template_regex(template: str) -> str:
-    """A regex over joined tokens that holds when the template's tokens occur in order."""
-    out = f"^{JOIN}"
-    for token in template.split(JOIN):
-        if token == GAP or token == "":
-            continue
-        quoted = re.escape(token)
-        out += f"(?:(?!{quoted}{JOIN})[^{JOIN}]*+{JOIN})*+{quoted}{JOIN}"
-    return out
-
-
-def match_patterns(df: DataFrame, text: str, patterns: DataFrame, chain_limit: int = 200) -> DataFrame:
-    """`isMatch` and `patternKey` of the longest pattern whose tokens occur in order in the line.
-
-    A small model becomes one CASE over the line. A larger one is joined on each pattern's longest
-    token, which every matching line must contain.
-    """
-    model = patterns.select("template", "pattern_key")
-    rows = model.limit(chain_limit + 1).collect()
-    if len(rows) <= chain_limit:
-        ranked = sorted(rows, key=lambda r: (-len(_texts(r["template"])), r["pattern_key"]))
-        joined = df.withColumn("_tokens", F.concat(F.lit(JOIN), F.array_join(log_tokens(F.trim(text)), JOIN), F.lit(JOIN)))
-        key = F.lit(None).cast("string")
-        for row in reversed(ranked):
-            if _texts(row["template"]):
-                key = F.when(F.col("_tokens").rlike(template_regex(row["template"])), F.lit(row["pattern_key"])).otherwise(key)
-        return joined.withColumn("patternKey", key).withColumn("isMatch", F.col("patternKey").isNotNull()).drop("_tokens")
-
-    def prepare(frames):
-        for frame in frames:
-            texts = [_texts(t) for t in frame["template"]]
-            yield frame.assign(anchor=[max(t, key=len) if t else None for t in texts], size=[len(t) for t in texts],
-                               regex=[template_regex(t) for t in frame["template"]])[["pattern_key", "anchor", "size", "regex"]]
-
-    model = model.mapInPandas(prepare, "pattern_key string, anchor string, size long, regex string").where("anchor IS NOT NULL")
-    lines = df.select(text).distinct().withColumn("_t", log_tokens(F.trim(text)))
-    probe = lines.select(text, F.concat(F.lit(JOIN), F.array_join("_t", JOIN), F.lit(JOIN)).alias("_tokens"),
-                         F.explode(F.array_distinct("_t")).alias("anchor"))
-    hits = probe.join(model, "anchor").where(F.expr("_tokens RLIKE regex"))
-    best = first_per_key(hits.select(text, "size", "pattern_key", (-F.col("size")).alias("_down")), [text], ["_down", "pattern_key"])
-    return df.join(best.select(text, F.col("pattern_key").alias("patternKey")), text, "left") \
-        .withColumn("isMatch", F.col("patternKey").isNotNull())
-
-
-def _texts(template: str) -> list[str]:
-    return [t for t in template.split(JOIN) if t not in (GAP, "")]

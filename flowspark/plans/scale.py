@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +40,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class WorkTables:
+    """Parquet tables of one job in the shared folder. A newer version of a table replaces the older one, so a loop
+    holds one version of each; nothing read later may depend on a replaced one."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.versions: dict[str, int] = {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """`df` written and read back: a cut in the lineage that survives a lost executor."""
+        old, new = self.versions.get(name), self.versions.get(name, 0) + 1
+        df.write.parquet(f"{self.folder}/{name}/{new}")
+        self.versions[name] = new
+        if old is not None:
+            self._delete(f"{name}/{old}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}/{new}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if self.versions.pop(name, None) is not None:
+                self._delete(name)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{place}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of a few row groups, laid out over the cores before heavy row work.
 

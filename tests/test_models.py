@@ -211,28 +211,6 @@ def test_supervised_frequencies(spark):
 
 # -- text --------------------------------------------------------------------------------
 
-def test_lcs_and_templates():
-    assert textmining.lcs(list("abcd"), list("xbyd")) == [(1, 1), (3, 3)]
-    a, b = "10.1 connect to 7".split(" "), "10.2 connect to 9".split(" ")
-    assert textmining.merge_templates(a, b, 0.5) == [textmining.GAP, "connect", "to", textmining.GAP]
-    assert textmining.merge_templates(a, b, 0.7) is None
-
-
-def test_pattern_mining_on_one_template(spark):
-    users = ["ann", "bob", "cid", "dan", "eve", "fay", "gus", "hal", "ida", "jon", "kim", "leo"]
-    lines = [(f"session opened for user {u} by root at node{i % 3}",) for i, u in enumerate(users)] + [("disk is full",)]
-    df = spark.createDataFrame(lines, "raw string")
-    model = textmining.mine_patterns(df, "raw", 0.7)
-    rows = {r["pattern_key"]: r for r in model.collect()}
-    assert set(rows) == {"session opened for user*by root at*", "disk is full"}
-    best = rows["session opened for user*by root at*"]
-    assert best["pattern_size"] == 12 and best["cluster_total"] == 13 and abs(best["pattern_scale"] - 12 / 13) < 1e-9
-    hits = textmining.match_patterns(df.union(spark.createDataFrame([("else",)], "raw string")), "raw", model)
-    assert hits.where("isMatch").count() == 13 and hits.where("NOT isMatch").count() == 1
-    joined = textmining.match_patterns(df, "raw", model, chain_limit=0)
-    assert {tuple(r) for r in joined.select("raw", "patternKey").collect()} == {tuple(r) for r in hits.where("isMatch").select("raw", "patternKey").collect()}
-
-
 def py_simhash(tokens, bits):
     votes = [0] * bits
     for t in tokens:
