@@ -33,34 +33,3 @@ def window_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
     out = l.join(r, keys)
     return out.select(F.col("_w.start").alias("w_start"), F.col("_w.end").alias("w_end"),
                       *[c for c in l.columns if c not in keys], *[c for c in r.columns if c not in keys])
-
-
-def session_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], left_ts: str, right_ts: str,
-                 gap: str, delay: str, prefixes: tuple[str, str] = ("l_", "r_")) -> DataFrame:
-    """Pairs with equal keys in one session that both sides' rows form together.
-
-    Sessions come from the union of both sides (a count per session, nothing is gathered); each
-    side then meets its session by key and time range, and the two sides meet in the session.
-    """
-    names = [f"_k{i}" for i in range(len(on))]
-
-    def keyed(df, cols):
-        return df.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, cols)})
-
-    l, r = keyed(left, [a for a, _ in on]), keyed(right, [b for _, b in on])
-    both = l.select(*names, F.col(left_ts).alias("_t")).union(r.select(*names, F.col(right_ts).alias("_t")))
-    sessions = both.groupBy(*names, F.session_window("_t", gap).alias("_s")).agg(F.count(F.lit(1)).alias("_rows"))
-    sessions = sessions.select(*[F.col(n).alias(f"_s{n}") for n in names], F.col("_s.start").alias("w_start"), F.col("_s.end").alias("w_end"),
-                               F.col("_s").alias("_session"))
-
-    def placed(df, ts, prefix):
-        cond = (F.col(ts) >= F.col("w_start")) & (F.col(ts) < F.col("w_end"))
-        for n in names:
-            cond = cond & (F.col(n) == F.col(f"_s{n}"))
-        inner = df.join(sessions, cond)
-        own = [c for c in df.columns if c not in names]
-        return inner.select(*names, "w_start", "w_end", *[F.col(c).alias(f"{prefix}{c}") for c in own])
-
-    a, b = placed(l, left_ts, prefixes[0]), placed(r, right_ts, prefixes[1])
-    out = a.join(b, [*names, "w_start", "w_end"])
-    return out.drop(*names)

@@ -28,8 +28,10 @@ def event_time(df: DataFrame, field: str, out_of_order: str = "10 seconds") -> D
 
 
 def arrival_time(df: DataFrame, name: str = "arrived", out_of_order: str = "0 seconds") -> DataFrame:
-    """Ingestion or processing time as a column that windows can use."""
-    return df.withColumn(name, F.current_timestamp()).withWatermark(name, out_of_order)
+    """Ingestion or processing time as a column that windows can use: the time of the micro-batch, which the checkpoint
+    keeps for a repeated batch. A time that the column holds already stays, as the end of a bounded stream has one."""
+    known = F.col(name) if name in df.columns else F.lit(None).cast("timestamp")
+    return df.withColumn(name, F.coalesce(known, F.current_timestamp())).withWatermark(name, out_of_order)
 
 
 def tumbling(ts: str, width: str) -> Column:
@@ -65,19 +67,31 @@ def window_series(df: DataFrame, ts: str, keys: Sequence[str], value: str, grain
 
 # -- running ------------------------------------------------------------------------------
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_table(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
                  folder: str | None = None) -> str:
     """Process all data there is, then stop; the folder of the result table is returned.
 
-    Every micro-batch owns the sub-folder `batch=<id>`, so a repeated batch replaces its own output.
+    Every micro-batch owns the sub-folder `batch=<id>`, so a repeated batch replaces its own output. Stateful processors
+    get the RocksDB store they need.
     """
     folder = folder or f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    handle = (df.writeStream.outputMode(mode).foreachBatch(each or write)
-              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    spark = df.sparkSession
+    before = spark.conf.get(STORE)
+    if "TransformWithState" in df._jdf.queryExecution().logical().toString():
+        spark.conf.set(STORE, ROCKSDB)
+    try:  # a query keeps the settings it was started with
+        handle = (df.writeStream.outputMode(mode).foreachBatch(each or write)
+                  .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(STORE, before)
     handle.awaitTermination()
     return f"{folder}/out"
 
@@ -97,3 +111,46 @@ def read_result(spark: SparkSession, folder: str, schema: T.StructType | str) ->
 def finished(df: DataFrame, mode: str = "append") -> DataFrame:
     """A stream run over all data there is, as a static table."""
     return read_result(df.sparkSession, run_to_table(df, mode), df.schema)
+
+
+class Closing:
+    """The end of a bounded stream: a final watermark that closes every window still open.
+
+    `attach` adds an empty second source to the stream. After all data is processed, marker rows far past any event time
+    are written there and the query runs on from its checkpoint: the watermark passes the end of every window of the
+    data, which comes out once, like those before. The markers' own windows stay open, so they are never part of a
+    result. A query that filters or joins drops markers that don't pass: `markers` names the values they need.
+    """
+
+    END = "9999-12-30 00:00:00"
+
+    def __init__(self, spark: SparkSession, ts: str, *markers: dict):
+        self.spark, self.ts, self.markers = spark, ts, markers or ({},)
+        self.folder = f"{shared_folder(spark)}/end-{uuid.uuid4().hex}"
+        self.schema: T.StructType | None = None
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """`df`, before it gets its event time, with the source of the markers."""
+        self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+        self.spark.createDataFrame([], self.schema).write.parquet(self.folder)
+        return df.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
+
+    def _mark(self) -> None:
+        number = isinstance(self.schema[self.ts].dataType, T.NumericType)
+        last = F.unix_millis(F.lit(self.END).cast("timestamp")) if number else F.lit(self.END)
+        rows = self.spark.range(1).select(F.explode(F.array(*[F.struct(*[
+            (last if f.name == self.ts else F.lit(marker.get(f.name))).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+            for marker in self.markers])).alias("r")).select("r.*")
+        rows.write.mode("append").parquet(self.folder)
+
+    def run_to_table(self, df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
+                     folder: str | None = None, beside: Sequence[Closing] = ()) -> str:
+        """Run the stream to its end and beyond; `beside` are the ends of its other sources."""
+        folder = folder or f"{shared_folder(self.spark)}/stream-{uuid.uuid4().hex}"
+        run_to_table(df, mode, each, folder)
+        for end in (self, *beside):
+            end._mark()
+        return run_to_table(df, mode, each, folder)
+
+    def finished(self, df: DataFrame, mode: str = "append", beside: Sequence[Closing] = ()) -> DataFrame:
+        return read_result(self.spark, self.run_to_table(df, mode, beside=beside), df.schema)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import models
-from flowspark.streaming import joins, lookup, state, windows
+from flowspark.streaming import joins, lookup, processors, windows
 
 T0 = dt.datetime(2018, 1, 1)
 SCHEMA = "a string, b int, eventTime long"
@@ -99,41 +99,93 @@ def test_refreshed_table_is_loaded_again_when_old(spark):
 def test_change_log_over_two_batches(spark, tmp_path):
     folder, state_folder = tmp_path / "in", str(tmp_path / "s")
     os.makedirs(folder)
-    stream = live(spark, folder, "k string, v int", maxFilesPerTrigger=1)
-    drop(folder, "1.json", [("a", 1), ("b", 1)], ("k", "v"))
-    agg = stream.groupBy("k").agg(F.sum("v").alias("s"))
-    step = state.change_log(state_folder, ["k"], ["s"])
-    windows.run_to_table(agg, "update", step, state_folder)
-    drop(folder, "2.json", [("a", 5)], ("k", "v"))
-    windows.run_to_table(agg, "update", step, state_folder)
-    log = spark.read.parquet(f"{state_folder}/out").select("batch", "k", "s", "change")
-    assert rows(log) == [(0, "a", 1, "insert"), (0, "b", 1, "insert"), (1, "a", 1, "retract"), (1, "a", 6, "insert")]
-
-
-def test_late_rows_are_kept_apart(spark, tmp_path):
+    log = processors.changes(live(spark, folder, "k string, v int"), ["k"], s=("sum", "v"), n=("count", None), top=("max", "v"))
+    drop(folder, "1.json", [("a", 1), ("b", 1), ("b", None), ("c", None)], ("k", "v"))
+    windows.run_to_table(log, folder=state_folder)
+    drop(folder, "2.json", [("a", 5), (None, 2)], ("k", "v"))
+    windows.run_to_table(log, folder=state_folder)
+    got = spark.read.parquet(f"{state_folder}/out").select("batch", "k", "s", "n", "top", "change").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        (0, "a", 1, 1, 1, "insert"), (0, "b", 1, 2, 1, "insert"), (0, "c", None, 1, None, "insert"),
+        (1, "a", 1, 1, 1, "retract"), (1, "a", 6, 2, 5, "insert"), (1, None, 2, 1, 2, "insert")], key=str)
+
+
+def test_a_batch_writes_the_changes_of_its_own_keys(spark, tmp_path):
     folder, state_folder = tmp_path / "in", str(tmp_path / "s")
     os.makedirs(folder)
-    stream = windows.event_time(live(spark, folder), "eventTime", "5 seconds")
-    step = state.split_late(state_folder, "eventTime", 5)
-    drop(folder, "1.json", events([("x", 1, 0), ("x", 2, 100)]), ("a", "b", "eventTime"))
-    windows.run_to_table(stream, "append", step, state_folder)
-    drop(folder, "2.json", events([("late", 3, 50), ("ok", 4, 96), ("ok", 5, 200)]), ("a", "b", "eventTime"))
-    windows.run_to_table(stream, "append", step, state_folder)
-    assert {r["a"] for r in spark.read.parquet(f"{state_folder}/late").collect()} == {"late"}
-    assert spark.read.parquet(f"{state_folder}/out").count() == 4
+    log = processors.changes(live(spark, folder, "k string, v int"), ["k"], s=("sum", "v"))
+    sizes = []
+    for n, keys in enumerate((3000, 3, 3)):
+        drop(folder, f"{n}.json", [(f"k{i}", 1) for i in range(keys)], ("k", "v"))
+        windows.run_to_table(log, folder=state_folder)
+        sizes.append(spark.read.parquet(f"{state_folder}/out").where(F.col("batch") == n).count())
+    assert sizes == [3000, 6, 6]
 
 
-def test_rolling_state_keeps_a_tail(spark, tmp_path):
+def test_late_rows_are_marked(spark, tmp_path):
     folder, state_folder = tmp_path / "in", str(tmp_path / "s")
     os.makedirs(folder)
-    stream = live(spark, folder, "k string, ts timestamp, v double")
-    roll = state.rolling_series(stream, "k", "ts", "v", keep=3)
-    drop(folder, "1.json", [("a", "2018-01-01T00:00:0%d" % i, i) for i in range(2)], ("k", "ts", "v"))
-    out = windows.run_to_table(roll, "update", folder=state_folder)
-    drop(folder, "2.json", [("a", "2018-01-01T00:00:0%d" % i, i) for i in range(2, 6)], ("k", "ts", "v"))
-    windows.run_to_table(roll, "update", folder=state_folder)
-    got = windows.read_result(spark, out, roll.schema).collect()
-    assert [(r["total"], r["values"]) for r in got] == [(6, [3.0, 4.0, 5.0])]       # two points alone give nothing
+    stream = processors.mark_late(windows.event_time(live(spark, folder), "eventTime", "5 seconds"), "eventTime")
+    for name, given in (("1", [("x", 1, 0), ("x", 2, 100)]), ("2", [("late", 3, 50), ("ok", 4, 96), ("ok", 5, 200)]), ("3", [("late", 6, 194), ("ok", 7, 195)])):
+        drop(folder, f"{name}.json", events(given), ("a", "b", "eventTime"))
+        windows.run_to_table(stream, folder=state_folder)
+    got = windows.read_result(spark, f"{state_folder}/out", stream.schema)
+    assert rows(got.select("b", "late")) == [(1, False), (2, False), (3, True), (4, False), (5, False), (6, True), (7, False)]
+    assert {r["a"] for r in got.where("late").collect()} == {"late"} and got.where("eventTime IS NULL").count() == 0
+
+
+def test_series_keep_every_point(spark, tmp_path):
+    """Two batches, the second out of order and longer than a part; nothing is lost and nothing old is written again."""
+    folder, state_folder = tmp_path / "in", str(tmp_path / "s")
+    roll = processors.rolling_series(live(spark, folder, "k string, ts timestamp, v double") if os.makedirs(folder) is None else None, "k", "ts", "v")
+    stamp = lambda i: (T0 + dt.timedelta(seconds=i)).isoformat()
+    drop(folder, "1.json", [("a", stamp(5000 + i), i) for i in range(2)] + [("b", stamp(i), i) for i in range(3)], ("k", "ts", "v"))
+    windows.run_to_table(roll, folder=state_folder)
+    assert rows(spark.read.parquet(f"{state_folder}/out").select("k", "total", "part")) == [("b", 3, 0)]  # two points alone give nothing
+    drop(folder, "2.json", [("a", stamp(i), 10 + i) for i in range(5000)], ("k", "ts", "v"))
+    windows.run_to_table(roll, folder=state_folder)
+    got = spark.read.parquet(f"{state_folder}/out").where("k = 'a'").orderBy("part").collect()
+    assert [(r["total"], r["part"], len(r["times"])) for r in got] == [(5002, 0, processors.PART), (5002, 1, 5002 - processors.PART)]
+    assert sorted(v for r in got for v in r["values"]) == sorted([0.0, 1.0, *(10.0 + i for i in range(5000))])
+
+
+def test_session_join_gives_the_last_sessions_too(spark, tmp_path):
+    given = [(k, s, t) for k, s, t in (("x", "l", 0), ("x", "r", 2), ("x", "l", 4), ("x", "r", 20), ("y", "l", 0), ("y", "r", 3), ("x", "l", 22))]
+    ends, sides = [], []
+    for side in "lr":
+        drop(tmp_path / side, "1.json", events([(k, i, t) for i, (k, s, t) in enumerate(given) if s == side]), ("a", "b", "eventTime"))
+        ends.append(windows.Closing(spark, "eventTime", {"a": side}))
+        sides.append(windows.event_time(ends[-1].attach(live(spark, tmp_path / side)), "eventTime", "1 second"))
+    out = processors.session_join(*sides, [("a", "a")], "eventTime", "eventTime", 3)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and plan.count("TransformWithState") == 1
+    got = ends[0].finished(out, beside=ends[1:])
+    start = F.timestamp_diff("SECOND", F.lit(T0), "w_start") if hasattr(F, "timestamp_diff") else (F.unix_seconds("w_start") - int(T0.timestamp()))
+    assert rows(got.select(start.cast("int"), "l_a", "l_b", "r_b")) == [(0, "x", 0, 1), (0, "x", 2, 1), (20, "x", 6, 3)]  # three seconds apart is apart
+
+
+def test_arrivals_meet_in_both_orders(spark, tmp_path):
+    for side in "lr":
+        os.makedirs(tmp_path / side)
+    l, r = (live(spark, tmp_path / side) for side in "lr")
+    out = processors.arrival_join(l, r, [("a", "a")], 366 * 86_400)
+    state_folder = str(tmp_path / "s")
+    steps = [("l", [("x", 1, 0), ("y", 2, 0)]), ("r", [("x", 3, 0)]), ("r", [("y", 4, 0)]), ("l", [("y", 5, 0), ("x", 6, 0), ("z", 7, 0)])]
+    for n, (side, given) in enumerate(steps):
+        drop(tmp_path / side, f"{n}.json", events(given), ("a", "b", "eventTime"))
+        windows.run_to_table(out, folder=state_folder)
+    got = spark.read.parquet(f"{state_folder}/out").select("batch", "l_a", "l_b", "r_b")
+    assert rows(got.drop("batch")) == [("x", 1, 3), ("x", 6, 3), ("y", 2, 4), ("y", 5, 4)]
+
+
+def test_bounded_stream_of_several_batches_is_closed(spark, tmp_path):
+    for n in range(3):
+        drop(tmp_path / "in", f"{n}.json", events([("x", n, 10 * n), ("y", n, 10 * n + 1)]), ("a", "b", "eventTime"))
+    for window, want in ((windows.tumbling("eventTime", "5 seconds"), [1, 1] * 3), (windows.session("eventTime", "5 seconds"), [1, 1] * 3)):
+        end = windows.Closing(spark, "eventTime")
+        stream = windows.event_time(end.attach(live(spark, tmp_path / "in", maxFilesPerTrigger=1)), "eventTime", "20 seconds")
+        got = end.finished(windows.window_aggregate(stream, window, ["a"], n=F.count("*")))
+        assert [r["n"] for r in got.collect()] == want and got.where("a IS NULL").count() == 0
 
 
 def test_scoring_follows_the_model(spark, tmp_path):
