@@ -5,8 +5,8 @@ token-position rows; a recursive query joins neighbours with the merge table and
 piece at once, the leftmost pair of the smallest rank, until no piece has a pair that can merge.
 Decoding joins token rows with the vocabulary and concatenates by an ordered aggregate.
 
-Memory of a worker: one DuckDB connection with the vocabulary and two memos of bounded size (pieces
-already encoded, runs of ids already decoded). Nothing is shuffled; a lost task is simply run again.
+Memory of a worker: one DuckDB connection with the vocabulary and memos bounded in bytes (units and pieces already
+encoded, with the bytes their ids decode to). Nothing is shuffled; a lost task is simply run again.
 
 Defined cases: a null text is encoded like an empty one (no ids); repeated rows give repeated results;
 an empty table gives an empty table; columns that are not named are carried along untouched.
@@ -18,7 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from flowspark.llm.shared import free_name, in_parts, ready
 
-MEMO_ENTRIES = 600_000
+MEMO_BYTES = 64 * 1024 * 1024  # of a generation of the units' memo; the others have a share of it
 DUCKDB_MEMORY = "400MB"
 LONG_PIECE = 128  # bytes; longer pieces leave the query for a queue, as it keeps every state of a piece
 STATE_ROWS = 8_000_000  # bound on the states of one recursive query
@@ -36,20 +36,17 @@ STATE_ROWS = 8_000_000  # bound on the states of one recursive query
 # k holds the piece in its upper and the position in its lower 32 bits
 ENCODE = """
 WITH RECURSIVE state AS (
-  SELECT k, id, 0 AS step FROM seed
+  SELECT k, id, false AS done FROM seed
   UNION ALL
-  SELECT a.k - (a.k > b.spot)::INT, CASE WHEN a.k = b.spot THEN b.merged ELSE a.id END, a.step + 1
-  FROM state a JOIN (
+  SELECT a.k - coalesce(a.k > b.spot, false)::INT, CASE WHEN a.k = b.spot THEN b.merged ELSE a.id END, b.piece IS NULL
+  FROM state a LEFT JOIN (
     SELECT piece, (piece << 32) + (best & 4294967295) AS spot, (best >> 32)::INT AS merged
     FROM (SELECT x.k >> 32 AS piece, min((m.merged::BIGINT << 32) + (x.k & 4294967295)) AS best
           FROM state x JOIN state y ON y.k = x.k + 1 JOIN merges m ON m.pair = (x.id::BIGINT << 32) + y.id
-          GROUP BY x.k >> 32)) b ON a.k >> 32 = b.piece
-  WHERE a.k <> b.spot + 1
+          WHERE NOT x.done GROUP BY x.k >> 32)) b ON a.k >> 32 = b.piece
+  WHERE NOT a.done AND (b.piece IS NULL OR a.k <> b.spot + 1)
 )
-SELECT s.k >> 32 AS piece, list(s.id ORDER BY s.k) AS ids
-FROM state s JOIN (SELECT k >> 32 AS piece, max(step) AS step FROM state GROUP BY 1) last
-  ON s.k >> 32 = last.piece AND s.step = last.step
-GROUP BY 1
+SELECT k >> 32 AS piece, list(id ORDER BY k) AS ids FROM state WHERE done GROUP BY 1
 """
 
 DECODE = """
@@ -62,25 +59,45 @@ def read_ranks(lines: list[bytes]) -> dict[bytes, int]:
 
 
 class Memo(dict):
-    """Results by key, forgotten together when there are too many; a batch's own keys always fit."""
+    """Results by key in two generations of at most `most` bytes each; a batch's own keys are always in the young one.
 
-    def __init__(self, entries: int):
+    When the young generation is full it becomes the old one, and what is asked for again moves back. Keys longer than
+    `LONGEST` are forgotten with the next batch: they hardly come again and a few of them would fill the memory.
+    """
+
+    ENTRY, LONGEST = 250, 256  # bytes beside key and value, characters of a key
+
+    def __init__(self, most: int):
         super().__init__()
-        self.entries = entries
+        self.most, self.size = most, 0
+        self.old: dict = {}
+        self.passing: list = []
 
     def missing(self, keys: set) -> list:
-        """The keys without a result yet; put theirs in before the next call."""
-        fresh = keys.difference(self)
-        if len(self) + len(fresh) > self.entries and len(self):
+        """The keys without a result yet; `remember` theirs before the next call."""
+        for key in self.passing:
+            self.pop(key, None)
+        self.passing = []
+        if self.size > self.most:
+            self.old = dict(self)
             self.clear()
-            fresh = keys
-        return list(fresh)
+            self.size = 0
+        fresh = keys.difference(self)
+        back = [key for key in fresh if key in self.old]
+        self.remember(back, [self.old[key] for key in back])
+        return list(fresh.difference(back))
+
+    def remember(self, keys: list, values: list) -> None:
+        self.update(zip(keys, values))
+        lengths = list(map(len, keys))
+        self.passing += [key for key, n in zip(keys, lengths) if n > self.LONGEST]
+        self.size += sum(lengths) + self.ENTRY * len(keys)
 
 
 class Codec:
     """Vocabulary, merge table and memos of one worker."""
 
-    def __init__(self, path: str, pattern: str, memo: int = MEMO_ENTRIES):
+    def __init__(self, path: str, pattern: str, memo: int = MEMO_BYTES):
         import duckdb
         import regex
 
@@ -105,7 +122,7 @@ class Codec:
             "lhs": [s[0] for s in splits], "rhs": [s[1] for s in splits], "merged": [s[2] for s in splits]})
         self.load("CREATE TABLE vocabulary AS SELECT id::INT AS id, hex FROM given", {
             "id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
-        self.heads, self.units, self.runs, self.pieces = Memo(memo // 8), Memo(memo), Memo(memo), Memo(memo * 2 // 3)
+        self.heads, self.units, self.runs, self.pieces = Memo(memo // 8), Memo(memo), Memo(memo // 2), Memo(memo // 2)
 
     def load(self, sql: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -167,8 +184,10 @@ class Codec:
         for piece, a, b in zip(found["piece"].to_pylist(), ends[:-1], ends[1:]):
             packed[piece] = values[a:b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. Units between single blanks are the memo's keys: no piece crosses such a blank."""
+    def coded(self, texts: list[str]) -> list[list[tuple[bytes, str, bytes]]]:
+        """Packed ids, ids as decimal text and the bytes that these ids decode to, for each unit of each text.
+
+        Units between single blanks are the memo's keys: no piece crosses such a blank."""
         cut = [self.safe.split(text) if self.uneven.search(text) else text.split(" ") for text in texts]
         heads = {parts[0] for parts in cut}
         rest: set[str] = set()
@@ -179,10 +198,31 @@ class Codec:
                 pieces = [[p.encode() for p in self.pattern.findall(blank + unit)] for unit in new]
                 known = self.pieces
                 fresh = known.missing(set(chain.from_iterable(pieces)))
-                known.update(zip(fresh, self.encode_pieces(fresh)))
-                memo.update(zip(new, [b"".join([known[p] for p in own]) for own in pieces]))
+                known.remember(fresh, self.encode_pieces(fresh))
+                packed = [b"".join([known[p] for p in own]) for own in pieces]
+                names = list(map(self.decimal.__getitem__, np.frombuffer(b"".join(packed), dtype="<i4").tolist()))
+                ends = [0, *accumulate([len(p) // 4 for p in packed])]
+                named = [" ".join(names[a:b]) for a, b in pairwise(ends)]
+                memo.remember(new, list(zip(packed, named, self.decode_runs(packed))))
         unit = self.units.__getitem__
-        return [self.heads[parts[0]] + b"".join(map(unit, parts[1:])) for parts in cut]
+        return [[self.heads[parts[0]], *map(unit, parts[1:])] for parts in cut]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        return [b"".join([u[0] for u in units]) for units in self.coded(texts)]
+
+    def decode_runs(self, packed: list[bytes]) -> list[bytes]:
+        """Bytes of each id sequence, by one query."""
+        sizes = np.array([len(run) // 4 for run in packed], dtype=np.int64)
+        flat = np.frombuffer(b"".join(packed), dtype="<i4")
+        place = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.con.register("tokens", pa.table({"run": np.repeat(np.arange(len(packed)), sizes), "pos": place, "id": flat}))
+        found = self.con.sql(DECODE).to_arrow_table()
+        self.con.unregister("tokens")
+        raw = [b""] * len(packed)
+        for run, value in zip(found["run"].to_pylist(), found["raw"].to_pylist()):
+            raw[run] = value
+        return raw
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence. Runs that begin at a token with a leading blank are the memo's keys."""
@@ -195,13 +235,7 @@ class Codec:
             cut.append(runs)
             distinct.update(runs)
         if new := self.runs.missing(distinct):
-            sizes = np.array([len(run) // 4 for run in new], dtype=np.int64)
-            flat = np.frombuffer(b"".join(new), dtype="<i4")
-            place = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.con.register("tokens", pa.table({"run": np.repeat(np.arange(len(new)), sizes), "pos": place, "id": flat}))
-            found = self.con.sql(DECODE).to_arrow_table()
-            self.con.unregister("tokens")
-            self.runs.update((new[i], raw) for i, raw in zip(found["run"].to_pylist(), found["raw"].to_pylist()))
+            self.runs.remember(new, self.decode_runs(new))
         return [b"".join(map(self.runs.__getitem__, runs)) for runs in cut]
 
 
@@ -265,23 +299,42 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = codec(path, pattern)
-            packed = own.encode(_texts(batch.column(1)))
-            named = [" ".join(map(own.decimal.__getitem__, np.frombuffer(p, dtype="<i4").tolist())) for p in packed]
+            coded = codec(path, pattern).coded(_texts(batch.column(1)))
+            named = [" ".join([u[1] for u in units if u[1]]) for units in coded]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0),
-                "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
+                "n_tokens": pa.array([n.count(" ") + 1 if n else 0 for n in named], pa.int64()),
                 "ids_sha256": [hashlib.sha256(n.encode()).hexdigest() for n in named],
-                "decoded_sha256": [hashlib.sha256(raw).hexdigest() for raw in own.decode(packed)],
+                "decoded_sha256": [hashlib.sha256(b"".join([u[2] for u in units])).hexdigest() for units in coded],
             })
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def reencoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
-    """Pipeline form: all columns, `text` replaced by what its ids decode to, and the ids with their number."""
-    ids, n_tokens = free_name(df, ids), free_name(df, n_tokens)
-    raw = free_name(df, "raw_bytes")
-    coded = decode(encode(df, path, pattern, text, ids), path, pattern, ids, raw)
-    back = F.when(F.col(text).isNull(), F.lit(None).cast("string")).otherwise(F.decode(F.col(raw), "UTF-8"))
-    return coded.withColumns({text: back, n_tokens: F.size(ids).cast("long")}).drop(raw)
+    """Pipeline form: all columns, `text` replaced by what its ids decode to, and the ids with their number, in one pass.
+
+    A null text stays null and has no ids; repeated rows get the same ids each; an empty table stays empty; where `df` has a
+    column of such a name already, the new ones get an underscore more.
+    """
+    ready(df.sparkSession)
+    names, place = df.columns, df.columns.index(text)
+    ids = free_name(df, ids)
+    n_tokens = free_name(df, n_tokens)
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(n_tokens, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(place)
+            coded = codec(path, pattern).coded(_texts(given))
+            packed = [b"".join([u[0] for u in units]) for units in coded]
+            back = [b"".join([u[2] for u in units]).decode() if t else None for units, t in zip(coded, given.is_valid().to_pylist())]
+            sizes = [len(p) // 4 for p in packed]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            columns = list(batch.columns)
+            columns[place] = pa.array(back, given.type)
+            yield pa.RecordBatch.from_arrays([
+                *columns, pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))), pa.array(sizes, pa.int64())],
+                names=[*names, ids, n_tokens])
+
+    return df.mapInArrow(run, schema)

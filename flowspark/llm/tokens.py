@@ -23,11 +23,11 @@ from flowspark.llm.shared import in_parts, ready
 
 MARK = "▁"
 GROUP_BYTES = 256 * 1024
-MEMO_ENTRIES = 300_000
+MEMO_BYTES = 64 * 1024 * 1024
 
 
 class Counter:
-    def __init__(self, path: str, memo: int = MEMO_ENTRIES, group_bytes: int = GROUP_BYTES):
+    def __init__(self, path: str, memo: int = MEMO_BYTES, group_bytes: int = GROUP_BYTES):
         import re
 
         import sentencepiece
@@ -57,7 +57,7 @@ class Counter:
             distinct.update(units)
         new = self.memo.missing(distinct)
         for part in in_parts(new, (len(u) + 8 for u in new), self.group_bytes):
-            self.memo.update(zip(part, map(len, self.model.encode(part, num_threads=1))))
+            self.memo.remember(part, list(map(len, self.model.encode(part, num_threads=1))))
         return [sum(map(self.memo.__getitem__, units)) for units in cut]
 
 
