@@ -165,7 +165,14 @@ def predictions(documents: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
-    """`documents` without those in which no language is recognised."""
+    """`documents` without those in which no language is recognised.
+
+    Where nothing is labelled there is no model to reject by, and all documents with a letter stay. Null, empty and letterless
+    texts go; repeated rows are judged each; an empty table stays empty; extra columns are carried along.
+    """
+    model = train(documents, text, label, key)
+    if model is None:
+        return documents.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     predicted, score = free_name(documents, "predicted_language"), free_name(documents, "language_score")
-    found = classified(documents, train(documents, text, label, key), text, predicted, score)
+    found = classified(documents, model, text, predicted, score)
     return found.where((F.col(predicted) != NONE) & (F.col(score) > 0)).select(*documents.columns)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.shared import ready, written
+from flowspark.llm.shared import free_name, ready, text_key, written
 from flowspark.operators.graph import components
 from flowspark.plans.scale import broadcast_if_small
 
@@ -301,17 +301,38 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
                        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _nodes(documents: DataFrame, text: str, node: str) -> DataFrame:
+    """`documents` with a number for each id and text: the id where it has one text, else a hash of both. Null where a row
+    without id has no words, as nothing is linked with it."""
+    digest = free_name(documents, "text_key")
+    keyed = documents.withColumn(digest, text_key(text))
+    several = keyed.groupBy(F.col("doc_id").cast("long").alias("_id_of")).agg(F.min(digest).alias("_least"), F.max(digest).alias("_most"))
+    several, _ = broadcast_if_small(written(several.where("_id_of is not null and _least <> _most").select("_id_of"), "ids-of-several"))
+    shared = free_name(documents, "shared_id")
+    marked = keyed.join(several.select(F.col("_id_of").alias(shared)), keyed["doc_id"].cast("long") == F.col(shared), "left")
+    # from 2^62 on, so that in a group a plain id comes first
+    own = F.shiftrightunsigned(F.xxhash64(F.lit("node"), F.col("doc_id").cast("long"), digest), 2).bitwiseOR(F.lit(1 << 62))
+    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    value = F.when(F.col("doc_id").isNull(), F.when(~wordless, own)).when(F.col(shared).isNotNull(), own).otherwise(F.col("doc_id").cast("long"))
+    return marked.withColumn(node, value).select(*documents.columns, node)
+
+
 def deduplicated(documents: DataFrame, text: str = "text") -> DataFrame:
-    """`documents` with one document of each group; of rows that share an id, one."""
-    signed, found = linked(documents, text)
-    gone = found.where("node <> component").select(F.col("node").alias("doc_id"))
-    gone, _ = broadcast_if_small(gone)
-    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    repeated = written(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """`documents` with one document of each group.
+
+    A document is what shares id and text: rows that share an id but not the text are judged each by its own text, rows
+    without an id by their text alone. Of rows equal in both, one stays; rows without words and without id all stay.
+    """
+    node = free_name(documents, "node_key")
+    numbered = _nodes(documents, text, node)
+    signed, found = linked(numbered.select(F.col(node).alias("doc_id"), F.col(text).alias("text")), "text")
+    gone, _ = broadcast_if_small(found.where("node <> component").select(F.col("node").alias(node)))
+    kept = numbered.join(gone, node, "left_anti")
+    repeated = written(signed.where("doc_id is not null").groupBy(F.col("doc_id").alias(node)).count().where("count > 1").select(node), "repeated")
     if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(
-        kept.join(repeated, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*documents.columns)
+    return kept.join(repeated, node, "left_anti").select(*documents.columns).unionByName(
+        kept.join(repeated, node, "left_semi").dropDuplicates([node]).select(*documents.columns))
 
 
 ORACLE = r"""

@@ -130,14 +130,20 @@ def plan(documents: DataFrame, text: str = "text", source: str = "source", key:
 
 
 def mixed(documents: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
-    """`documents` as the mix holds them: each row as often as planned, none where it is left out."""
+    """`documents` as the mix holds them: each row as often as planned, none where it is left out.
+
+    A null text has no tokens, a null source is a source of its own; repeated rows get the same number of copies each; an
+    empty table stays empty; extra columns, whatever their names, are carried along.
+    """
     planned = plan(documents, text, source, key, **options)
-    # equal rows have equal plans, so one line per id, source and text serves all of them
-    lines = planned.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_md5").alias("_md5")).agg(F.first("copies").alias("_copies"))
     digest = free_name(documents, "_digest")
     keyed = documents.withColumn(digest, F.md5(whole(text)))
-    joined = keyed.join(lines, keyed[key].eqNullSafe(lines["_id"]) & keyed[source].eqNullSafe(lines["_src"]) & (keyed[digest] == lines["_md5"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).where("_copies > 0").select(*documents.columns)
+    # equal rows have equal plans, so one line per id, source and text serves all of them
+    own = {c: free_name(keyed, f"_{c}") for c in ("id", "src", "md5", "copies", "copy")}
+    lines = planned.groupBy(F.col("doc_id").alias(own["id"]), F.col("source").alias(own["src"]), F.col("text_md5").alias(own["md5"])).agg(
+        F.first("copies").alias(own["copies"]))
+    joined = keyed.join(lines, keyed[key].eqNullSafe(lines[own["id"]]) & keyed[source].eqNullSafe(lines[own["src"]]) & (keyed[digest] == lines[own["md5"]]))
+    return joined.where(F.col(own["copies"]) > 0).withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.col(own["copies"])))).select(*documents.columns)
 
 
 ORACLE = rf"""

@@ -139,15 +139,17 @@ def _of_rows(docs: DataFrame, rows: DataFrame, hash_: str) -> tuple[DataFrame, D
     """`docs` with and without a row of the same id and text hash in `rows`, a table of distinct `(doc_id, text_hash)`.
 
     Where the list is measured small, only the texts that are listed go on to a shuffle."""
-    side, _ = broadcast_if_small(rows.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (docs[hash_] == F.col("_h"))
+    i, h = free_name(docs, "_i"), free_name(docs, "_h")
+    side, _ = broadcast_if_small(rows.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (docs[hash_] == F.col(h))
     return docs.join(side, same, "left_semi"), docs.join(side, same, "left_anti")
 
 
 def _beside(docs: DataFrame, listed: DataFrame, hash_: str, name: str) -> DataFrame:
     """`docs` with the column `at` of their row in `listed`, as `name`."""
-    side = listed.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("at").alias(name))
-    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["_i"]) & (docs[hash_] == side["_h"])).drop("_i", "_h")
+    i, h = free_name(docs, "_i"), free_name(docs, "_h")
+    side = listed.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("at").alias(name))
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side[i]) & (docs[hash_] == side[h])).drop(i, h)
 
 
 def removal(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

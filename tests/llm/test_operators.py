@@ -141,11 +141,39 @@ def test_near_duplicates_of_odd_rows(odd, none):
             assert r.component_id == want[r.doc_id] and r.n_shingles in {len(s) for s in sets[r.doc_id]}
     kept = minhash.deduplicated(odd)
     assert kept.columns == odd.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == sorted(i for i in want if want[i] == i)
+    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
+    # the two texts of id 21 are documents of their own: the longer one is near text 7 and goes, the other stays
+    assert sorted(ids) == sorted([i for i in want if want[i] == i] + [21])
+    assert [r.text for r in kept.where("doc_id = 21").collect()] == ["one id"]
     assert minhash.deduplicated(none).count() == 0
 
 
+def test_texts_that_share_an_id_or_have_none(spark):
+    """Rows are documents by id and text: no text is lost to another one's id, and copies without an id go too."""
+    one, two, three = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    given = [(1, one), (1, two), (1, one), (2, three), (3, one), (None, two), (None, two), (None, three + " more"), (None, ""), (None, None), (4, ""), (4, "")]
+    rows = [(*r, "x", 1, 2, 3, "y") for r in given]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id_of string, node_key long, _least long, shared_id long, Text_Key string")
+    got = [r.text for r in minhash.deduplicated(docs).collect()]
+    assert sorted(t.split()[0][0] for t in got if t) == ["a", "b", "c"] and len([t for t in got if not t]) == 3
+
+
+def test_extra_columns_named_like_helpers(spark):
+    repeat = " ".join(f"p{i}" for i in range(50))
+    names = "_id, _src, _md5, _copies, _copy, _digest, _i, _h, _at, text_hash, at".split(", ")
+    docs = spark.createDataFrame([(i, f"t{i} {repeat} u{i}", "en", "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(6)],
+                                 "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for made in (substrings.without_repeats(docs), mixing.mixed(docs), minhash.deduplicated(docs), langid.accepted(docs)):
+        rows = made.collect()
+        assert made.columns == docs.columns and rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert [r.text for r in substrings.without_repeats(docs).orderBy("doc_id").collect()] == [f"t{i} u{i}" for i in range(6)]
+
+
+def test_without_labels_lettered_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "ein Haus", None), (2, "12 !", None), (3, None, None), (4, "\u00c4", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.accepted(docs).collect()} == {1, 4}
+
+
 def test_short_pairs_are_not_lost_by_their_sketch(spark):
     """A text of seven words and one more: similarity 0.75, few shingles fill all bins, so sketches differ by chance."""
     hasher, texts = minhash.Hasher(), []
