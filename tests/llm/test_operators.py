@@ -260,6 +260,55 @@ def test_fingerprint_is_homomorphic(spark):
     assert back.select(fingerprints.combined(F.col("fingerprint"), F.col("b"), -1).alias("minus")).first().minus == f[3]
 
 
+def plain_fingerprint(text):
+    """The same sums in plain Python."""
+    import struct
+
+    import xxhash
+
+    parts = [p for p in re.split(fingerprints.PIECES, text) if p]
+
+    def hashes(seed):
+        return [xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=xxhash.xxh64_intdigest(p.encode(), seed=42)) for p in parts]
+
+    low, lanes = fingerprints.LOW, [len(parts)]
+    for seed in fingerprints.EXACT_SEEDS:
+        lanes += [sum(h & low for h in hashes(seed)) & low, sum(h >> 32 for h in hashes(seed)) & low]
+    for seed in fingerprints.SIGN_SEEDS:
+        lanes += [sum((h >> k) & fingerprints.FIELDS for h in hashes(seed)) for k in range(fingerprints.SHIFTS)]
+    return lanes
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+
+    def signed(f):
+        packed = f[1 + fingerprints.N_EXACT:]
+        return [2 * (x & fingerprints.LOW) - f[0] for x in packed] + [2 * (x >> 32) - f[0] for x in packed]
+
+    x, y = signed(a), signed(b)
+    scale = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return min(1.0, max(0.0, sum(p * q for p, q in zip(x, y)) / scale)) if scale else 0.0
+
+
+def test_fingerprints_equal_plain_sums(spark, small):
+    rows = {r.doc_id: r for r in QUERIES["op4_document_fingerprints"](spark, small).collect()}
+    texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    own = [plain_fingerprint(text) for _, text in texts]
+    assert len(rows) == len(texts)
+    for k, (i, text) in enumerate(texts):
+        q, n = len(text) // 4, (k + 1) % len(texts)
+        changed = text[:len(text) - q] + texts[n][1][:q]
+        after = plain_fingerprint(changed)
+        digests = [hashlib.sha256(" ".join(map(str, lanes)).encode()).hexdigest() for lanes in (own[k], after)]
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert [r.fingerprint, r.edited_fingerprint] == digests
+        assert math.isclose(r.near_edited, plain_likeness(own[k], after), abs_tol=1e-9)
+        assert math.isclose(r.near_next, plain_likeness(own[k], own[n]), abs_tol=1e-9)
+
+
 def test_edited_texts_are_nearer_than_the_next(spark, small):
     rows = QUERIES["op4_document_fingerprints"](spark, small).collect()
     texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect())
