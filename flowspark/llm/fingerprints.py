@@ -1,6 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraph pieces, in DataFrame functions alone.
 
-A text's pieces are its paragraphs (lines), cut after sentence ends. Each piece is hashed to a wide vector; a
+A text's pieces are its paragraphs (lines), cut after sentence ends and, as long paragraphs would be one piece each, before
+words that begin with certain letters (cuts that depend on the content alone, so an edit moves none elsewhere). Each piece is hashed to a wide vector; a
 fingerprint is the sum of its pieces' vectors modulo powers of two. So the order of pieces does not matter,
 equal texts have equal fingerprints, and a piece is inserted or deleted by adding or subtracting its vector
 (`combined`). The vector has two parts:
@@ -10,8 +11,8 @@ equal texts have equal fingerprints, and a piece is inserted or deleted by addin
   these are random projections of the multiset, and their cosine estimates how much two texts share.
 
 A fingerprint is an array of longs: number of pieces, exact lanes, packed sign lanes. Pieces are exploded and
-summed per document in generated code; documents stay in one scan partition, so what is shuffled is one vector
-per document.
+summed per document in generated code. All of a comparison lies in one layout, by hash of `doc_id`: whole texts cross the
+network once; the previous document gets a text's front, as long as it needs, and its fingerprint, and nothing else moves.
 
 Defined cases: a null text is empty and has no pieces (all lanes 0; two texts without pieces are alike 1, one
 without and one with pieces 0); repeated rows have equal fingerprints; an empty table gives an empty table.
@@ -32,11 +33,12 @@ SIGN_SEEDS = (101, 102)
 LOW = 0xFFFFFFFF
 FIELDS = 0x0000000100000001  # the lowest bit of each field of a long
 SHIFTS = 32
-PIECES = r"\n+|(?<=[.!?])[ \t]+"
+PIECES = r"\n+|(?<=[.!?])[ \t]+|[ \t]+(?=[a-dA-D0-2а-в])|(?<=[。！？；，、،؟।…])|(?<=[a-z])(?=[A-Z])"
+KEY, NO_KEY = "_key", "_no_key"  # the id that the layout hashes; plain equality of both is null-safe equality of ids
 
 
 def pieces(text: Column) -> Column:
-    """Paragraphs, cut after sentence ends; empty ends don't count."""
+    """Paragraphs, cut after sentence ends and before some words; empty ends don't count."""
     return F.filter(F.split(text, PIECES), lambda p: p != "")
 
 
@@ -100,62 +102,67 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(documents: DataFrame) -> DataFrame:
-    """One row per `doc_id`: the next and previous id in ascending order (round the end), the previous id's longest
-    text and the hash of the row that stands for the id. Ids are laid out by range; no task sees them all."""
+    """One row per `doc_id`: the previous id in ascending order (round the end), that id's longest text and the hash of
+    the row that stands for the id. Ids are laid out by range; no task sees them all."""
     ids = written(documents.groupBy("doc_id").agg(F.max("n_chars").alias("most"), F.min("text_hash").alias("head")), "ids")
-    laid = lags(ordered(ids, [], ["doc_id"]), [], {"next_id": ("doc_id", -1), "prev_id": ("doc_id", 1), "prev_most": ("most", 1)})
-    laid = written(laid.select("doc_id", "most", "head", "next_id", "prev_id", "prev_most", "_pos", "_n"), "neighbours")
+    laid = lags(ordered(ids, [], ["doc_id"]), [], {"prev_id": ("doc_id", 1), "prev_most": ("most", 1)})
+    laid = written(laid.select("doc_id", "most", "head", "prev_id", "prev_most", "_pos", "_n"), "neighbours")
     ends = {r["_pos"]: r for r in laid.where("_pos = 1 or _pos = _n").collect()}
     if not ends:
         return laid.drop("_pos", "_n", "most")
-    first, last = ends[1], ends[max(ends)]
+    last = ends[max(ends)]
 
     def value(v, kind="long"):
         return F.lit(v).cast(kind)
 
-    at_end, at_start = F.col("_pos") == F.col("_n"), F.col("_pos") == 1
+    at_start = F.col("_pos") == 1
     return laid.select(
-        "doc_id", "head", F.when(at_end, value(first["doc_id"])).otherwise(F.col("next_id")).alias("next_id"),
-        F.when(at_start, value(last["doc_id"])).otherwise(F.col("prev_id")).alias("prev_id"),
+        "doc_id", "head", F.when(at_start, value(last["doc_id"])).otherwise(F.col("prev_id")).alias("prev_id"),
         F.when(at_start, value(last["most"], "int")).otherwise(F.col("prev_most")).alias("prev_most"))
 
 
-def edited(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Per row its text and the edited one: the last quarter replaced by as much from the front of the next document.
+def identity(column: str) -> list[Column]:
+    """A nullable numeric id as two columns without nulls."""
+    return [F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")).alias(KEY), F.isnull(column).alias(NO_KEY)]
 
-    A document sends its next-door neighbour only the front it needs, so texts cross the network once and a quarter.
-    """
-    ready(documents.sparkSession)
+
+def placed(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Texts laid out by hash of their id, each beside what `neighbours` says of it."""
     docs = documents.select("doc_id", whole(text).alias("text"))
-    measures = {"n_chars": F.length("text"), "text_hash": text_key("text")}
-    near = neighbours(docs.withColumns(measures)).withColumnRenamed("doc_id", "_id")
-    # nothing but id and text goes through the exchange, so both uses below share it
-    placed = docs.join(near, docs["doc_id"].eqNullSafe(near["_id"])).drop("_id").withColumns(measures)
-    fronts = placed.where("text_hash = head").select(
-        F.col("prev_id").alias("_to"), F.expr("substring(text, 1, prev_most div 4)").alias("_front"), F.col("text_hash").alias("next_hash"))
-    fronts = fronts.groupBy("_to").agg(F.first("_front").alias("_front"), F.first("next_hash").alias("next_hash"))
-    both = placed.join(fronts, placed["doc_id"].eqNullSafe(fronts["_to"]))
-    return both.select(
-        "doc_id", "text_hash", "n_chars", "next_id", "next_hash", "text",
-        F.expr("concat(substring(text, 1, n_chars - n_chars div 4), substring(_front, 1, n_chars div 4))").alias("edited"))
+    near = neighbours(docs.select("doc_id", F.length("text").alias("n_chars"), text_key("text").alias("text_hash")))
+    near = near.select(*identity("doc_id"), "head", "prev_id", "prev_most")
+    # measures are taken behind the exchange, so that nothing but id and text goes through it and all uses share it
+    laid = docs.select(*identity("doc_id"), "text").join(near, [KEY, NO_KEY])
+    return laid.withColumns({"n_chars": F.length("text"), "text_hash": text_key("text")})
+
+
+def edited(laid: DataFrame) -> DataFrame:
+    """Rows of `placed` with the edited text: the last quarter replaced by as much from the front of the next document.
+
+    A document sends the previous one only the front it needs.
+    """
+    heads = laid.where("text_hash = head").select(KEY, NO_KEY, "prev_id", F.expr("substring(text, 1, prev_most div 4)").alias("_front"))
+    fronts = heads.groupBy(KEY, NO_KEY).agg(F.first("prev_id").alias("prev_id"), F.first("_front").alias("_front"))
+    return laid.join(fronts.select(*identity("prev_id"), "_front"), [KEY, NO_KEY]).withColumn(
+        "edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 4), substring(_front, 1, n_chars div 4))"))
 
 
 def compared(documents: DataFrame, text: str = "text") -> DataFrame:
     """Per row: fingerprints of the text and the edited text, and how alike the text is to that and to the next document."""
-    keys = ["doc_id", "text_hash", "n_chars", "next_id", "next_hash", "edited_sha256"]
-    changed = edited(documents, text).withColumn("edited_sha256", F.sha2("edited", 256))
+    ready(documents.sparkSession)
+    laid = placed(documents, text)
+    keys = [KEY, NO_KEY, "text_hash", "n_chars", "edited_sha256"]
+    changed = edited(laid).withColumn("edited_sha256", F.sha2("edited", 256))
     prints = fingerprints(changed, keys, {"own": "text", "edited_print": "edited"})
+    # a fingerprint is computed anew for the previous document: cheaper than a table of all of them and two exchanges
+    heads = fingerprints(laid.where("text_hash = head"), [KEY, NO_KEY, "prev_id"], {"_next": "text"})
+    joined = prints.join(heads.select(*identity("prev_id"), "_next"), [KEY, NO_KEY])
 
     def digest(name: str) -> Column:
         return F.sha2(F.array_join(F.col(name).cast("array<string>"), " "), 256)
 
-    # one row per id and text; the edited lanes have done their work here
-    table = written(prints.select(
-        "doc_id", "text_hash", F.col("n_chars").cast("long").alias("n_chars"), "next_id", "next_hash", "edited_sha256",
+    rows = joined.select(
+        F.when(~F.col(NO_KEY), F.col(KEY)).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
         digest("own").alias("fingerprint"), digest("edited_print").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_print")).alias("near_edited"), "own", "n_rows"), "prints")
-    side = table.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("own").alias("_next"))
-    joined = table.join(side, table["next_id"].eqNullSafe(side["_i"]) & (table["next_hash"] == side["_h"]))
-    repeated = joined.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return repeated.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-                           likeness(F.col("own"), F.col("_next")).alias("near_next"))
+        likeness(F.col("own"), F.col("edited_print")).alias("near_edited"), likeness(F.col("own"), F.col("_next")).alias("near_next"), "n_rows")
+    return rows.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))).drop("_row", "n_rows")
