@@ -62,9 +62,14 @@ def fingerprints(df: DataFrame, keys: list[str], texts: dict[str, str] | None =
         values += [F.col(f"_h{s}").bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(f"_h{s}", 32)]
     for s in SIGN_SEEDS:
         values += [F.shiftrightunsigned(f"_h{s}", k).bitwiseAND(F.lit(FIELDS)) for k in range(SHIFTS)]
-    summed = hashed.groupBy(*keys).agg(F.sum("_copies").alias("_copies"), *[
-        F.sum(F.when(F.col("_is") & (F.col("_side") == side), v).otherwise(F.lit(0).cast("long"))).alias(f"_l{side}_{i}")
-        for side in range(len(texts)) for i, v in enumerate(values)])
+    # sums of each side first: a piece then adds to one vector only, however many sides there are
+    named = {f"_l{i}": v for i, v in enumerate(values)}
+    one_side = hashed.groupBy(*keys, "_side").agg(F.sum("_copies").alias("_copies"), *[
+        F.sum(F.when(F.col("_is"), v).otherwise(F.lit(0).cast("long"))).alias(name) for name, v in named.items()])
+    summed = one_side.groupBy(*keys).agg(F.sum("_copies").alias("_copies"), *[
+        F.sum(F.when(F.col("_side") == side, F.col(name)).otherwise(F.lit(0).cast("long"))).alias(f"_l{side}_{i}")
+        for side in range(len(texts)) for i, name in enumerate(named)]) if len(texts) > 1 else one_side.withColumnsRenamed(
+            {name: f"_l0_{i}" for i, name in enumerate(named)})
 
     def packed(side: int) -> Column:
         # repeated rows add up to a multiple of one row's vector
@@ -136,13 +141,19 @@ def placed(documents: DataFrame, text: str = "text") -> DataFrame:
     return laid.withColumns({"n_chars": F.length("text"), "text_hash": text_key("text")})
 
 
+def heads(laid: DataFrame) -> DataFrame:
+    """The rows of `placed` that stand for their id. As a plain equality this would become a key of the join below it, and
+    texts would be laid out anew."""
+    return laid.where(F.col("text_hash").bitwiseXOR(F.col("head")) == 0)
+
+
 def edited(laid: DataFrame) -> DataFrame:
     """Rows of `placed` with the edited text: the last quarter replaced by as much from the front of the next document.
 
     A document sends the previous one only the front it needs.
     """
-    heads = laid.where("text_hash = head").select(KEY, NO_KEY, "prev_id", F.expr("substring(text, 1, prev_most div 4)").alias("_front"))
-    fronts = heads.groupBy(KEY, NO_KEY).agg(F.first("prev_id").alias("prev_id"), F.first("_front").alias("_front"))
+    sent = heads(laid).select(KEY, NO_KEY, "prev_id", F.expr("substring(text, 1, prev_most div 4)").alias("_front"))
+    fronts = sent.groupBy(KEY, NO_KEY).agg(F.first("prev_id").alias("prev_id"), F.first("_front").alias("_front"))
     return laid.join(fronts.select(*identity("prev_id"), "_front"), [KEY, NO_KEY]).withColumn(
         "edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 4), substring(_front, 1, n_chars div 4))"))
 
@@ -155,8 +166,8 @@ def compared(documents: DataFrame, text: str = "text") -> DataFrame:
     changed = edited(laid).withColumn("edited_sha256", F.sha2("edited", 256))
     prints = fingerprints(changed, keys, {"own": "text", "edited_print": "edited"})
     # a fingerprint is computed anew for the previous document: cheaper than a table of all of them and two exchanges
-    heads = fingerprints(laid.where("text_hash = head"), [KEY, NO_KEY, "prev_id"], {"_next": "text"})
-    joined = prints.join(heads.select(*identity("prev_id"), "_next"), [KEY, NO_KEY])
+    following = fingerprints(heads(laid), [KEY, NO_KEY, "prev_id"], {"_next": "text"})
+    joined = prints.join(following.select(*identity("prev_id"), "_next"), [KEY, NO_KEY])
 
     def digest(name: str) -> Column:
         return F.sha2(F.array_join(F.col(name).cast("array<string>"), " "), 256)
