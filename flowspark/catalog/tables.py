@@ -101,7 +101,8 @@ SELECT o_orderkey, p_brand, p_partkey FROM orders LEFT JOIN
 def _(t: Tables):
     df = t.orders.select("o_orderkey", "o_totalprice", (C("o_custkey") % 50 + 1).cast("int").alias("p_size"))
     table = t.part.select("p_size", "p_partkey", "p_brand", "p_retailprice", (-C("p_retailprice")).alias("_down"))
-    out = enrich.condition_lookup(df, table, "p_retailprice < o_totalprice / 100", ["_down", "p_partkey"], "o_orderkey", ["p_size"])
+    out = enrich.condition_lookup(df, table, "p_retailprice < o_totalprice / 100", ["_down", "p_partkey"], "o_orderkey", ["p_size"],
+                                  below=("p_retailprice", "o_totalprice / 100"))
     return out.select("o_orderkey", "p_brand", "p_partkey")
 
 

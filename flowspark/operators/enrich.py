@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.casts import ip_to_long
-from flowspark.plans.scale import checkpoint, first_per_key, lookup_join, salted_join
+from flowspark.plans.scale import carry, checkpoint, first_per_key, lookup_join, ordered, salted_join
 
 
 def lookup(df: DataFrame, table: DataFrame, column: str, key: str, order: Sequence[str] = ()) -> DataFrame:
@@ -102,24 +102,50 @@ def ip_location(df: DataFrame, ip: str, ranges: DataFrame, lo: str, hi: str,
 # -- condition lookups ------------------------------------------------------------------
 
 def condition_lookup(df: DataFrame, table: DataFrame, condition: Column | str, order: Sequence[str],
-                     row_id: str, keys: Sequence[str] = (), between: tuple[str, str, str] | None = None) -> DataFrame:
+                     row_id: str, keys: Sequence[str] = (), between: tuple[str, str, str] | None = None,
+                     below: tuple[str, str] | None = None) -> DataFrame:
     """The best reference row (lowest by `order`) that satisfies a free condition with a record.
 
     Records are the columns of `df`, reference columns carry their own names. The condition needs an
-    anchor, so that no cross product arises: equal `keys`, or `between` = (point, lo, hi).
+    anchor, so that no cross product arises: equal `keys`, or `between` = (point, lo, hi). With `keys`, every
+    pair of equal keys is looked at, unless `below` = (column, limit) says that the condition is just
+    `column < limit`, of one type, and that `order` puts the greatest `column` first: such a record
+    meets its best rows only.
     """
     cond = F.expr(condition) if isinstance(condition, str) else condition
-    if keys:
-        hits = salted_join(df, table, list(keys), "inner")
+    extra = [c for c in table.columns if c not in keys]
+    if keys and below:
+        hits = _best_below(df, table, list(keys), below[0], below[1], order, row_id)
+    elif keys:
+        hits = salted_join(df, table, list(keys), "inner").where(cond)
     elif between:
-        hits = range_matches(df, between[0], table, between[1], between[2])
+        hits = range_matches(df, between[0], table, between[1], between[2]).where(cond)
     else:
         raise ValueError("a condition lookup needs keys or a between anchor")
-    extra = [c for c in table.columns if c not in keys]
-    best = first_per_key(hits.where(cond).select(row_id, *extra), [row_id], order)
+    best = first_per_key(hits.select(row_id, *extra), [row_id], order)
     return df.join(best, row_id, "left")
 
 
+def _best_below(df: DataFrame, table: DataFrame, keys: list[str], column: str, limit: str, order: Sequence[str],
+                row_id: str) -> DataFrame:
+    """`row_id` of each record with the reference rows of its keys that have the greatest `column` below its limit, of these
+    the lowest by `order` (several where they differ in other columns only).
+
+    Reference rows and records lie in one line per key, by `column` and limit; a record takes the last rows before it. The
+    line is cut into range slices, so a key of any size is spread over tasks.
+    """
+    extra = [c for c in table.columns if c not in keys]
+    rows = table.dropna(subset=[*keys, column])
+    equal = rows.groupBy(*dict.fromkeys([*keys, column, *order])).agg(F.collect_set(F.struct(*extra)).alias("_rows"))
+    lowest = equal.groupBy(*keys, column).agg(F.min_by("_rows", F.struct(*order)).alias("_rows"))
+    spots = lowest.select(*keys, F.col(column).alias("_at"), F.lit(1).alias("_side"), "_rows")
+    asked = df.select(*keys, F.expr(limit).alias("_at"), F.lit(0).alias("_side"), F.col(row_id).alias("_id"))
+    line = spots.unionByName(asked.dropna(subset=[*keys, "_at"]), allowMissingColumns=True)
+    placed = carry(ordered(line, keys, ["_at", "_side"]), keys, {"_best": ("_rows", "previous")})
+    found = placed.where("_side = 0").select(F.col("_id").alias(row_id), F.explode("_best").alias("_row"))
+    return found.select(row_id, *[F.col("_row").getField(c).alias(c) for c in extra])
+
+
 def cached_dimension(df: DataFrame) -> DataFrame:
     """A reference table written once and read by several jobs."""
     return checkpoint(df)

@@ -72,6 +72,24 @@ def test_condition_lookup_with_range_anchor(spark):
     assert rows(out.select("id", "n")) == [(1, "b"), (2, None)]
 
 
+def test_condition_lookup_below_a_limit(spark):
+    """Ties, repeated rows and ids, missing keys and values as by all pairs, though no record meets more than its best rows."""
+    df = spark.range(400).selectExpr("if(id % 50 = 7, null, id % 390) AS id", "if(id % 13 = 0, null, int(id % 3)) AS k",
+                                     "if(id % 17 = 0, null, double(id * 7919 % 101)) AS top")
+    table = spark.range(300).selectExpr("if(id % 11 = 0, null, int(id % 4)) AS k", "if(id % 19 = 0, null, double(id * 31 % 53)) AS v",
+                                        "if(id % 5 = 0, null, id % 7) AS w", "string(id % 23) AS n")
+    table = table.union(table.limit(40)).withColumn("_down", -F.col("v"))
+    given = [df, table, "v < top", ["_down", "w"], "id", ["k"]]
+    out = enrich.condition_lookup(*given, below=("v", "top"))
+    plain = enrich.condition_lookup(*given)
+    assert out.exceptAll(plain).count() == 0 and plain.exceptAll(out).count() == 0 and out.where("n IS NOT NULL").count() > 200
+    # one key, a billion pairs: none of them is laid out
+    many = spark.range(40000).selectExpr("id", "1 AS k", "double(id) AS top")
+    rows_of = spark.range(25000).selectExpr("1 AS k", "id * 2.0D AS v", "id AS w")
+    far = enrich.condition_lookup(many, rows_of.withColumn("_down", -F.col("v")), "v < top", ["_down"], "id", ["k"], below=("v", "top"))
+    assert far.where("w IS NULL OR w <> least(ceil(id / 2) - 1, 24999)").count() == 1  # nothing lies below zero
+
+
 def test_text_key_join(spark):
     left = spark.createDataFrame([(1, "l1"), (None, "l2")], "k int, x string")
     right = spark.createDataFrame([("1", "r1"), (None, "r2"), ("1.0", "r3")], "k string, x string")
