@@ -42,8 +42,11 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], time: str, value: str, m
 
 
 def quotients(df: DataFrame, keys: Sequence[str], time: str, value: str, k: int = 1, out: str = "quotient") -> DataFrame:
+    """Value over the value `k` rows before; over zero as IEEE 754 has it: infinite, or NaN for zero over zero."""
     placed = lags(ordered(df, keys, [time]), keys, {"_b": (value, k)})
-    return settle(placed.where(F.col("_pos") > k).withColumn(out, F.col(value) / F.col("_b"))).drop("_b")
+    # the power of a zero is infinite with the zero's sign, where a division would be an error
+    ratio = F.when(F.col("_b") != 0, F.col(value) / F.col("_b")).otherwise(F.col(value) * F.pow("_b", F.lit(-1.0)))
+    return settle(placed.where(F.col("_pos") > k).withColumn(out, ratio)).drop("_b")
 
 
 def returns(df: DataFrame, keys: Sequence[str], time: str, value: str, k: int = 1, out: str = "ret") -> DataFrame:

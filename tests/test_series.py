@@ -26,6 +26,13 @@ def column(df, name="v"):
     return [r[name] for r in df.orderBy("t").collect()]
 
 
+def test_quotients_over_zero(spark):
+    got = column(series.quotients(frame(spark, [0.0, -0.0, 0.0, 2.0, -1.0, None, 4.0]), ["key"], "t", "v"), "quotient")
+    assert all(math.isnan(x) for x in got[:2]) and got[2:4] == [math.inf, -0.5] and got[4:] == [None, None]
+    got = column(series.returns(frame(spark, [0.0, -3.0, -0.0, -3.0, 6.0]), ["key"], "t", "v"), "ret")
+    assert got == [-math.inf, -1.0, math.inf, -3.0]
+
+
 def test_fills(spark):
     nan = float("nan")
     df = frame(spark, [nan, 1, nan, nan, nan, 5, nan])
