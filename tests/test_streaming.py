@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.operators import models
 from flowspark.streaming import joins, lookup, processors, windows
@@ -164,6 +165,60 @@ def test_session_join_gives_the_last_sessions_too(spark, tmp_path):
     assert rows(got.select(start.cast("int"), "l_a", "l_b", "r_b")) == [(0, "x", 0, 1), (0, "x", 2, 1), (20, "x", 6, 3)]  # three seconds apart is apart
 
 
+def test_a_key_with_many_sessions_has_one_timer(spark):
+    """All sessions that are over come out with the first timer that fires, in a handful of calls to the state store."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name in ("get", "exists"):
+                    return self.value if name == "get" else self.value is not None
+                self.value = None if name == "clear" else (self.value or []) + given[0] if name == "appendList" else given[0]
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getListState(self, *_):
+            return State()
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            calls.append("registerTimer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("deleteTimer")
+            self.timers.discard(at)
+
+    class At:
+        def __init__(self, now):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: now
+
+    handle, fields = Handle(), T.StructType.fromDDL("l_n int, r_n int")
+    join = processors._SessionJoin(fields, 1, 3000)
+    join.init(handle)
+    # a thousand sessions of two rows a second apart, 10 seconds from one to the next
+    given = [{"_left": side == 0, "_t": n * 10_000 + side * 1000, "l_n": n if side == 0 else None, "r_n": n if side else None}
+             for n in range(1000) for side in (0, 1)]
+    for part in (given[1000:], given[:1000]):
+        list(join.handleInputRows(("k",), iter(part), At(0)))
+    assert handle.timers == {4}
+    out = list(join.handleExpiredTimer(("k",), At(5000), At(4)))
+    assert [(r["_first"], r["_end"], r["l_n"], r["r_n"]) for r in out] == [(n * 10_000, n * 10_000 + 4000, n, n) for n in range(500)]
+    handle.timers.discard(4)
+    assert handle.timers == {5004} and len(calls) < 20
+    out = list(join.handleExpiredTimer(("k",), At(9004), At(5004)))
+    assert [r["l_n"] for r in out] == list(range(500, 901)) and len(handle.timers - {5004}) == 1
+
+
 def test_arrivals_meet_in_both_orders(spark, tmp_path):
     for side in "lr":
         os.makedirs(tmp_path / side)
