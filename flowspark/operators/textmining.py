@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.functions.text import as_col
 from flowspark.operators.graph import components
@@ -16,14 +21,56 @@ GROWTH = 16
 
 # -- signatures ----------------------------------------------------------------------
 
+_XX = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+_AT_ONCE = 1 << 14  # tokens hashed at a time, so that the work stays in a core's cache
+
+
+def _token_minima(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Smallest of each seeded hash over the bags that begin at `starts`; `tokens` are Spark's `xxhash64` of each token's
+    hash, which `xxhash64(hash, seed)` goes on from."""
+    out = np.full((HASHES, len(starts)), np.iinfo(np.int64).max)
+    for first in range(0, len(tokens), _AT_ONCE):
+        part = tokens[first:first + _AT_ONCE].view(np.uint64) + (_XX[4] + np.uint64(4))
+        low, high = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, first + len(part), "left")
+        cuts = np.maximum(starts[low:high] - first, 0)
+        h, other = np.empty_like(part), np.empty_like(part)
+        for seed in range(HASHES):
+            np.bitwise_xor(part, np.uint64(seed * int(_XX[0]) & (1 << 64) - 1), out=h)
+            np.right_shift(h, np.uint64(41), out=other)
+            np.left_shift(h, np.uint64(23), out=h)
+            np.bitwise_or(h, other, out=h)
+            np.multiply(h, _XX[1], out=h)
+            np.add(h, _XX[2], out=h)
+            for shift, prime in ((33, _XX[1]), (29, _XX[2]), (32, None)):
+                np.right_shift(h, np.uint64(shift), out=other)
+                np.bitwise_xor(h, other, out=h)
+                if prime is not None:
+                    np.multiply(h, prime, out=h)
+            least = np.minimum.reduceat(h.view(np.int64), cuts)
+            np.minimum(out[seed, low:high], least, out=out[seed, low:high])
+    return out
+
+
 def _minima(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
-    """`(row_id, h0 ... h127)`: the smallest of each of 128 seeded token hashes.
+    """`(row_id, h0 ... h127)`: the smallest of each of 128 seeded token hashes, `xxhash64(xxhash64(token), seed)`.
 
-    Tokens are exploded next to their row, so the 128 minima are combined before the shuffle and
-    one row per document crosses it. Rows without tokens have no minima.
+    The 128 minima of a row are taken where it lies, so one short row per document crosses the shuffle, which joins rows of
+    one id. Rows without tokens have no minima.
     """
-    terms = df.select(row_id, F.explode(F.array_distinct(tokens)).alias("t")).select(row_id, F.xxhash64("t").alias("t"))
-    return terms.groupBy(row_id).agg(*[F.min(F.xxhash64("t", F.lit(i))).alias(f"h{i}") for i in range(HASHES)])
+    names = [f"h{i}" for i in range(HASHES)]
+    schema = T.StructType([df.schema[row_id], *[T.StructField(n, T.LongType()) for n in names]])
+    bags = df.select(row_id, F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(F.xxhash64(t)))).alias("_bag"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bag = batch.column(1)
+            ends = bag.offsets.to_numpy().astype(np.int64)
+            some = np.diff(ends) > 0  # a condition in the query would make every bag twice
+            made = _token_minima(bag.values.to_numpy()[ends[0]:ends[-1]], ends[:-1][some] - ends[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), *map(pa.array, made)], names=[row_id, *names])
+
+    rows = bags.mapInArrow(least, schema)
+    return rows.groupBy(row_id).agg(*[F.min(n).alias(n) for n in names])
 
 
 def _pack(first: int) -> Column:

@@ -231,6 +231,21 @@ def test_simhash(spark):
         assert got == {i: py_simhash(t, bits) for i, t in enumerate(tokens)}
 
 
+def test_minima_are_those_of_the_seeded_hashes(spark, monkeypatch):
+    """Repeated ids share a signature, missing ids and tokens count, bags cross the borders of what is hashed at once."""
+    df = spark.sql("""SELECT if(id = 3, null, id % 40) AS id, if(id % 9 = 1, null, transform(sequence(0, int(id * 37 % 400)),
+        x -> if(x % 50 = 7, null, string(x * 31 + id * 7)))) AS t FROM range(50) UNION ALL SELECT 100, array() UNION ALL SELECT 5, array(null, 'a')""")
+    terms = df.select("id", F.explode("t").alias("t")).select("id", F.xxhash64("t").alias("t"))
+    want = terms.groupBy("id").agg(*[F.min(F.xxhash64("t", F.lit(i))).alias(f"h{i}") for i in range(128)])
+    got = textmining._minima(df, "id", "t")
+    assert got.count() == want.count() > 30 and got.exceptAll(want).count() == 0
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()  # no 128 buffers per token
+    tokens, starts = np.arange(-900, 1100), np.array([0, 3, 500, 512, 1999])
+    whole = textmining._token_minima(tokens, starts)
+    monkeypatch.setattr(textmining, "_AT_ONCE", 256)
+    assert (textmining._token_minima(tokens, starts) == whole).all()
+
+
 def test_signatures_and_clusters(spark):
     words = [f"w{i}" for i in range(60)]
     docs = [(1, words), (2, words), (3, words[:58] + ["x", "y"]), (4, [f"v{i}" for i in range(60)])]
