@@ -104,8 +104,7 @@ def _(t: Tables):
 @query("x10_weighted_simhash")
 def _(t: Tables):
     rows = V.tf_idf_rows(_docs(t), "doc_id", "tokens")
-    packed = rows.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("tf_idf").alias("w"))
-    return M.simhash(packed, "doc_id", "tokens", 32, "w")
+    return M.simhash(rows, "doc_id", "token", 32, "tf_idf")
 
 
 @query("x11_hashing_tf", _DOCS + "SELECT doc_id, CAST(len(tokens) AS DOUBLE) AS mass FROM d")

@@ -201,8 +201,12 @@ def simhash(df: DataFrame, row_id: str, tokens: str, bits: int = 32, weight: str
 
     The vector's first entry is the highest bit. Without `weight` every token counts once per
     occurrence; else `weight` names an array parallel to `tokens`, and 1 needs a positive vote.
+    `tokens` may also name plain tokens, one per row, with the `weight` of each: votes are then
+    added up where the rows lie before they are shuffled.
     """
-    if weight:
+    if weight and not isinstance(df.schema[tokens].dataType, T.ArrayType):
+        rows = df.select(row_id, F.col(tokens).alias("t"), F.col(weight).alias("w"))
+    elif weight:
         rows = df.select(row_id, F.explode(F.arrays_zip(F.col(tokens).alias("t"), F.col(weight).alias("w"))).alias("e")) \
             .select(row_id, F.col("e.t").alias("t"), F.col("e.w").alias("w"))
     else:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,7 +18,7 @@ from pyspark.sql import types as T
 
 from flowspark.functions.casts import to_real
 from flowspark.functions.text import as_col, squash
-from flowspark.plans.scale import checkpoint, lookup_join
+from flowspark.plans.scale import BROADCAST_BYTES, broadcast_if_small, checkpoint, join_back, salted_join
 
 FEATURES = 1 << 20
 
@@ -40,16 +44,64 @@ def _idf(total: int, min_doc_freq: int) -> Column:
     return F.when(F.col("df") >= min_doc_freq, F.log((F.lit(float(total)) + 1) / (F.col("df") + 1))).otherwise(0.0)
 
 
-def tf_idf_rows(df: DataFrame, row_id: str, tokens: str, min_doc_freq: int = 0) -> DataFrame:
-    """`(row_id, token, tf, tf_idf)`; the token table is broadcast only when measured small.
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`(row id, token, tf)` of each row by itself, from `(row id, tokens)`."""
+    for batch in batches:
+        ids, tokens = batch.column(0), batch.column(1)
+        words, rows = tokens.flatten(), pc.list_parent_indices(tokens)
+        if words.null_count:
+            words, rows = words.filter(words.is_valid()), rows.filter(words.is_valid())
+        words, rows = words.dictionary_encode(), rows.to_numpy().astype(np.int64)
+        size = max(len(words.dictionary), 1)
+        pairs, counts = np.unique(rows * size + words.indices.to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(pairs // size)), words.dictionary.take(pa.array(pairs % size)),
+                                          pa.array(counts.astype(np.int64))], names=[batch.schema.names[0], "token", "tf"])
 
-    The counted terms are written once: document frequencies and the result both read them.
+
+def _term_counts(df: DataFrame, row_id: str, tokens: str) -> DataFrame:
+    """`(row_id, token, tf)`, missing tokens left out.
+
+    Terms are counted where their row lies, without a shuffle; only those of ids that several rows have are added up.
+    """
+    schema = T.StructType([df.schema[row_id], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
+    ready = df.select(row_id, F.col(tokens).alias("_tokens"))
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.select(row_id, "_tokens").mapInArrow(_count_terms, schema)
+
+    several = checkpoint(df.groupBy(row_id).agg(F.count(F.lit(1)).alias("_many")).where("_many > 1"))
+    if several.isEmpty():
+        return counted(ready)
+    marked = join_back(ready, broadcast_if_small(several)[0], [row_id], "left")
+    added = counted(marked.where("_many IS NOT NULL")).groupBy(row_id, "token").agg(F.sum("tf").alias("tf"))
+    return counted(marked.where("_many IS NULL")).unionByName(added)
+
+
+def tf_idf_rows(df: DataFrame, row_id: str, tokens: str, min_doc_freq: int = 0, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`(row_id, token, tf, tf_idf)`; of the token table the most frequent ones, up to a measured size, are broadcast.
+
+    A token of one document alone needs no entry in that table. Terms cross a shuffle only for the tokens between, those of
+    two documents or more that are too rare to be broadcast.
     """
     total = df.select(row_id).distinct().count()
-    tf = checkpoint(df.select(row_id, F.explode(tokens).alias("token")).groupBy(row_id, "token").agg(F.count(F.lit(1)).alias("tf")))
-    freq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weights = freq.select("token", _idf(total, min_doc_freq).alias("idf"))
-    return lookup_join(tf, weights, ["token"], "inner").select(row_id, "token", "tf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
+    tf = _term_counts(df, row_id, tokens)
+    freq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    weights = checkpoint(freq.select("token", _idf(total, min_doc_freq).alias("idf"), F.floor(F.log2("df")).alias("_level")))
+    alone = F.lit(math.log((total + 1.0) / 2) if min_doc_freq <= 1 else 0.0)
+    lowest, room = 0, max_bytes
+    size = F.sum(F.octet_length("token") + 32).alias("bytes")
+    for level in weights.groupBy("_level").agg(size).orderBy(F.desc("_level")).collect():  # one row per power of two
+        room -= level["bytes"]
+        if room < 0:
+            lowest = level["_level"] + 1
+            break
+    often = F.broadcast(weights.where(F.col("_level") >= lowest).drop("_level"))
+    if lowest:
+        rare = weights.where(F.col("_level") < lowest).drop("_level")
+        found = tf.join(often, "token").unionByName(salted_join(tf.join(often, "token", "left_anti"), rare, ["token"], "left"))
+    else:
+        found = tf.join(often, "token", "left")
+    return found.select(row_id, "token", "tf", (F.col("tf") * F.coalesce("idf", alone)).alias("tf_idf"))
 
 
 def tf_idf(df: DataFrame, tokens: str, out: str = "vector", min_doc_freq: int = 0, features: int = FEATURES) -> DataFrame:

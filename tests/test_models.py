@@ -246,6 +246,27 @@ def test_minima_are_those_of_the_seeded_hashes(spark, monkeypatch):
     assert (textmining._token_minima(tokens, starts) == whole).all()
 
 
+def test_tf_idf_of_odd_rows_without_a_shuffle_of_terms(spark):
+    """Repeated and missing ids, missing tokens; the token table broadcast whole, in part and not at all."""
+    odd = spark.sql("""SELECT if(id % 20 = 3, null, id % 45) AS id, if(id % 9 = 1, null, transform(sequence(0, int(id * 37 % 60)),
+        x -> if(x % 50 = 7, null, string(x * x % (id + 5))))) AS t FROM range(60) UNION ALL SELECT 100, array() UNION ALL SELECT 5, array(null, 'only')""")
+    for df in (odd, odd.where("id > 15 AND id < 45 AND id % 20 > 3").dropDuplicates(["id"])):
+        df = df.localCheckpoint()
+        tf = df.select("id", F.explode("t").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+        idf = tf.groupBy("token").agg(F.log((F.lit(float(df.select("id").distinct().count())) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+        want = tf.join(idf, "token").select("id", "token", "tf", F.round(F.col("tf") * F.col("idf"), 12).alias("w"))
+        for most in (1 << 20, 400, 1):
+            made = vectors.tf_idf_rows(df, "id", "t", max_bytes=most)
+            got = made.select("id", "token", "tf", F.round("tf_idf", 12).alias("w"))
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() > 100
+    made = vectors.tf_idf_rows(df, "id", "t")
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()  # not terms written before
+    packed = made.groupBy("id").agg(F.collect_list("token").alias("t"), F.collect_list("tf_idf").alias("w"))
+    votes = textmining.simhash(packed, "id", "t", 32, "w")
+    assert votes.exceptAll(textmining.simhash(made, "id", "token", 32, "tf_idf")).count() == 0 and votes.count() > 10
+
+
 def test_signatures_and_clusters(spark):
     words = [f"w{i}" for i in range(60)]
     docs = [(1, words), (2, words), (3, words[:58] + ["x", "y"]), (4, [f"v{i}" for i in range(60)])]
