@@ -76,3 +76,16 @@ def test_checkpoint_uses_one_folder(spark):
     folder = scale.shared_folder(spark)
     assert scale.shared_folder(spark) == folder
     assert scale.checkpoint(spark.range(3)).count() == 3
+
+
+def test_a_wide_scan_of_one_row_group_is_dealt_out(spark, tmp_path):
+    """Many splits, all rows in one of them."""
+    spark.range(60000).selectExpr("id", "sha2(string(id), 512) AS t").coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "t"))
+        assert scan.rdd.getNumPartitions() > 32
+        assert scale.spread(scan).select(F.spark_partition_id()).distinct().count() == 8 and scale.spread(scan).count() == 60000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
