@@ -4,7 +4,9 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from flowspark.llm import bpe, tokens
@@ -74,6 +76,53 @@ def test_memo_turns_over(library):
             assert len(packed[0]) // 4 == len(library.encode_ordinary(text))
 
 
+def test_words_of_a_batch_are_cut_in_few_calls(library):
+    """Units are joined to a text again before the pattern cuts them; each word of its own cost a call before."""
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    whole, calls = codec.pattern, []
+
+    class Counted:
+        def findall(self, text):
+            calls.append(text)
+            return whole.findall(text)
+
+    codec.pattern = Counted()
+    texts = [" ".join(f"w{i}x{k}, été{k}" for k in range(300)) for i in range(3)]
+    for text, packed in zip(texts, codec.encode(texts)):
+        assert packed == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text))
+    assert len(calls) <= 2 * len(texts)
+
+
+def test_blanks_after_wide_spaces(library):
+    """No cut before a blank that follows white space of several bytes, nor between a control character and a blank."""
+    wide = [chr(c) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    odd = [*wide, *map(chr, range(0x21)), "\x7f", "é", "Ġ", "à", "日", "🙂", "…", "—", "1", "'"]
+    rng = random.Random(3)
+    texts = [f"a{c} b{c}  b {c}c {c} d{c}" for c in odd]
+    texts += ["".join(rng.choice([*odd, " ", " ", " ", "x"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    packed = codec.encode(texts)
+    for text, got, back in zip(texts, packed, codec.decode(packed)):
+        assert got == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text)), repr(text)
+        assert back == text.encode()
+
+
+def test_sliced_and_null_texts_and_unknown_ids(library):
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    given = pa.array(["no", None, "a b", "", " a b", None, "no"]).slice(1, 5)
+    packed, named, raw = codec.coded(given, codec.decimals, codec.decoded)
+    texts = ["", "a b", "", " a b", ""]
+    assert [packed[0][a:b] for a, b in zip(packed[1], packed[1][1:])] == codec.encode(texts)
+    assert [raw[0][a:b].decode() for a, b in zip(raw[1], raw[1][1:])] == texts
+    assert [named[0][a:b].decode().split() for a, b in zip(named[1], named[1][1:])] == [
+        list(map(str, library.encode_ordinary(t))) for t in texts]
+    unknown = len(codec.ranks) + 5  # an id that no token has stands for nothing
+    assert codec.decode_runs([np.array(i, dtype="<i4").tobytes() for i in ([unknown], [], [64, unknown, 65])]) == [
+        b"", b"", b"".join(t for i in (64, 65) for t, r in codec.ranks.items() if r == i)]
+    letters = bpe.Codec(RANKS, r"\p{L}+")  # a pattern that leaves characters out
+    assert letters.encode(["a, b", ", ", "é"]) == [b"".join(codec.encode(["a", "b"])), b"", codec.encode(["é"])[0]]
+
+
 def test_counts_equal_library(spark):
     import sentencepiece
 
